@@ -4,17 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import chat, exact_dedup, mixing, warc
+from loomgraph.llm import chat, decontam, exact_dedup, mixing, quality, simhash, token_ids, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A vocabulary file of the public tokenizers; every worker has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("times")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digests(warc.derive(warc.pages_to_responses(table(spark, sf_dir, "pages"))))
 
@@ -26,11 +43,23 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.unionByName(extra)))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_dedup(table(spark, sf_dir, "documents"))
+
+
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids.token_table(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op2_mixing, op5_warc_derivatives, op6_chat_format, op10_exact_dedup)}
+QUERIES = {q.__name__: q for q in (op1_toxicity, op2_mixing, op3_quality, op5_warc_derivatives, op6_chat_format, op7_simhash, op8_token_ids, op9_decontamination, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op2_mixing": mixing.SQL,

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 VERSION = b"WARC/1.1"
 DATE = "2026-01-01T00:00:00Z"
-SCHEMA = "page_id long, record_type string, record_id string, refers_to string, target_uri string, payload_digest string, block_digest string, n_links long, content_length long, record binary, reason string"
+SCHEMA = "page_id string, record_type string, record_id string, refers_to string, target_uri string, payload_digest string, block_digest string, n_links long, content_length long, record binary, reason string"
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _BREAK = re.compile(r"</?(?:p|br|div|h[1-6]|li|ul|ol|tr|table|article|section|nav|header|footer|title|body|head|blockquote|pre)\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z!][^>]*>")
@@ -73,7 +73,7 @@ def page_text(html: str) -> str:
     return "\n".join(line for line in lines if line)
 
 
-def response_record(page_id: int | None, url: str | None, html: str | None, date: str = DATE) -> bytes:
+def response_record(page_id: str | None, url: str | None, html: str | None, date: str = DATE) -> bytes:
     body = (html or "").encode("utf-8", "replace")
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body) + body
     fields = [
@@ -139,9 +139,8 @@ def derive_record(data: bytes) -> list[tuple[str, str, str, str, str, str, int,
 
 def _responses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        ids = [None if pd.isna(x) else int(x) for x in batch["page_id"]]
-        made = [response_record(i, u if isinstance(u, str) else None, h if isinstance(h, str) else None) for i, u, h in zip(ids, batch["url"], batch["html"])]
-        yield pd.DataFrame({"page_id": pd.array(ids, dtype="Int64"), "record": made})
+        made = [response_record(*row) for row in zip(batch["page_id"], batch["url"], batch["html"])]
+        yield pd.DataFrame({"page_id": batch["page_id"], "record": made})
 
 
 def _derive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,19 +148,16 @@ def _derive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for page, record in zip(batch["page_id"], batch["record"]):
-            page = None if pd.isna(page) else int(page)
             try:
                 rows += [(page, *made, None) for made in derive_record(bytes(record or b""))]
             except ValueError as why:
                 rows.append((page, "invalid", *[None] * 5, 0, 0, None, str(why)))
-        out = pd.DataFrame(rows, columns=columns)
-        out["page_id"] = out["page_id"].astype("Int64")
-        yield out
+        yield pd.DataFrame(rows, columns=columns)
 
 
 def pages_to_responses(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html) to (page_id, record), WARC response records as bytes."""
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInPandas(_responses, "page_id long, record binary")
+    """(page_id, url, html) to (page_id, record), WARC response records as bytes; ids travel as text."""
+    return pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html").mapInPandas(_responses, "page_id string, record binary")
 
 
 def derive(responses: DataFrame) -> DataFrame:
@@ -175,12 +171,10 @@ def _read_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for page, kind, links, record in zip(batch["page_id"], batch["record_type"], batch["n_links"], batch["record"]):
             fields, block = read_record(bytes(record)) if record is not None else ({}, b"")
             rows.append((page, kind, fields.get("warc-record-id"), fields.get("warc-refers-to"), fields.get("warc-target-uri"), fields.get("warc-source-payload-digest"), fields.get("warc-block-digest"), links, len(block), hashlib.sha256(block).hexdigest()))
-        out = pd.DataFrame(rows, columns=["page_id", "record_type", "record_id", "refers_to", "target_uri", "payload_digest", "block_digest", "n_links", "content_length", "block_sha256"])
-        out["page_id"] = out["page_id"].astype("Int64")
-        yield out
+        yield pd.DataFrame(rows, columns=["page_id", "record_type", "record_id", "refers_to", "target_uri", "payload_digest", "block_digest", "n_links", "content_length", "block_sha256"])
 
 
 def digests(derived: DataFrame) -> DataFrame:
     """The linked fields of each derived record, read back from its bytes."""
-    kinds = "page_id long, record_type string, record_id string, refers_to string, target_uri string, payload_digest string, block_digest string, n_links long, content_length long, block_sha256 string"
-    return derived.select("page_id", "record_type", "n_links", "record").mapInPandas(_read_back, kinds)
+    kinds = "page_id string, record_type string, record_id string, refers_to string, target_uri string, payload_digest string, block_digest string, n_links long, content_length long, block_sha256 string"
+    return derived.select("page_id", "record_type", "n_links", "record").mapInPandas(_read_back, kinds).withColumn("page_id", F.col("page_id").cast("long"))
