@@ -1,8 +1,66 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: classify, drop near copies, decontaminate, mix, and write token ids.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
+each result as Parquet in the shared folder and gives the reread table to the
+next stage. All stages but the last return the columns of ``documents``; further
+columns are dropped.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgraph.llm import decontam, mixing, quality, queries, simhash, token_ids
+from loomgraph.shared import store
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below the threshold go."""
+    scored = quality.with_score(docs.select(*COLUMNS), quality.fit(docs, queries.table(spark, sf_dir, "labels")))
+    return scored.filter(F.col("score") >= quality.THRESHOLD).select(*COLUMNS)
+
+
+def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents joined by five-word shingle similarity of 0.8 or more, the one of smallest doc_id stays."""
+    docs = docs.select(*COLUMNS)
+    ids = docs.agg(F.count("*"), F.count_distinct("doc_id"), F.count("doc_id")).first()
+    if len(set(ids)) > 1:  # rows that repeat under one doc_id
+        docs = store(docs.dropDuplicates(["doc_id", "text"]), "distinct")
+    groups = simhash.near_groups(docs)
+    gone = groups.filter("doc_id != component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti").select(*COLUMNS)
+
+
+def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    docs = docs.select(*COLUMNS)
+    marks = decontam.contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
+    bad = marks.filter("contaminated").select(F.col("doc_id").alias("bad")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad")), "left_anti").select(*COLUMNS)
+
+
+def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it; documents that it takes no time go."""
+    taken = mixing.mix(docs, carry=("text", "lang", "n_chars", "source"))
+    return taken.filter("times > 0").withColumn("_", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).select(*COLUMNS)
+
+
+def _token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the mix in shards, read back by key."""
+    return token_ids.token_table(docs, queries.tokenizer_path())
+
+
+STAGES = [("quality", _quality), ("near_dedup", _near_dedup), ("decontamination", _decontaminate), ("mixing", _mix), ("token_ids", _token_ids)]
+
+#: No SQL: models, sketches and the tokenizer are beyond it; tests/llm holds brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = queries.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = store(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

@@ -60,8 +60,10 @@ def source_targets(sources: DataFrame, share: float = 1.5, most: float = 2.0, we
     dealt = sources.withColumn("w", w).withColumn("stop", most * F.col("source_size")).withColumn("ratio", F.col("stop") / F.col("w"))
     left = share * F.sum("source_size").over(whole) - F.coalesce(F.sum("stop").over(by), F.lit(0.0))
     level = left / (F.sum("w").over(whole) - F.coalesce(F.sum("w").over(by), F.lit(0)))
-    dealt = dealt.withColumn("level", F.when(F.col("ratio") >= level, level))
-    return dealt.select("source", "source_size", F.least(F.col("stop"), F.col("w") * F.coalesce(F.min("level").over(whole), F.lit(float("inf")))).alias("target"))
+    place = F.row_number().over(Window.orderBy("ratio", "w", F.col("source").asc_nulls_last()))
+    dealt = dealt.withColumn("level", level).withColumn("place", place).withColumn("first", F.min(F.when(F.col("ratio") >= F.col("level"), F.col("place"))).over(whole))
+    chosen = F.max(F.when(F.col("place") == F.col("first"), F.col("level"))).over(whole)
+    return dealt.select("source", "source_size", F.least(F.col("stop"), F.col("w") * F.coalesce(chosen, F.lit(float("inf")))).alias("target"))
 
 
 def mix(docs: DataFrame, weight: Column | None = None, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -109,10 +111,11 @@ WITH sized AS (
 ), ranked AS (
   SELECT *, 2.0::DOUBLE * source_size AS stop, 2.0::DOUBLE * source_size / w AS ratio FROM sources
 ), levels AS (
-  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(stop) OVER p, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER p, 0)) AS level
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(stop) OVER p, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER p, 0)) AS level,
+    row_number() OVER (ORDER BY ratio, w, source NULLS LAST) AS place
   FROM ranked WINDOW p AS (ORDER BY ratio, w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), targets AS (
-  SELECT source, source_size, least(stop, w * coalesce(min(CASE WHEN ratio >= level THEN level END) OVER (), 'inf'::DOUBLE)) AS target FROM levels
+  SELECT source, source_size, least(stop, w * coalesce((SELECT arg_min(level, place) FROM levels WHERE ratio >= level), 'inf'::DOUBLE)) AS target FROM levels
 ), run AS (
   SELECT k.doc_id, k.size, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS whole,

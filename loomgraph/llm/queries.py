@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import chat, decontam, exact_dedup, mixing, quality, simhash, token_ids, toxicity, warc
+from loomgraph.llm import chat, decontam, exact_dedup, mixing, quality, simhash, suffix_dedup, token_ids, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.strip(table(spark, sf_dir, "documents"))
+
+
 def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digests(warc.derive(warc.pages_to_responses(table(spark, sf_dir, "pages"))))
 
@@ -59,7 +63,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_toxicity, op2_mixing, op3_quality, op5_warc_derivatives, op6_chat_format, op7_simhash, op8_token_ids, op9_decontamination, op10_exact_dedup)}
+QUERIES = {q.__name__: q for q in (op1_toxicity, op2_mixing, op3_quality, op4_suffix_dedup, op5_warc_derivatives, op6_chat_format, op7_simhash, op8_token_ids, op9_decontamination, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op2_mixing": mixing.SQL,

@@ -6,13 +6,17 @@ order: a node holds the bits on which all fingerprints below it agree, less thos
 its parent holds already. A search adds up differences from node to node and
 drops a whole group as soon as they exceed the limit.
 
-The upper nodes, at most ``UPPER_NODES`` Gray ranges of about equal counts, are
-cut from exact counts of ``2^16`` Gray prefixes and broadcast (a fixed bound).
-Each fingerprint is sent to the group of its own range and to those ranges whose
-shared bits leave it within the limit; a task holds one group and builds the
-lower levels. A link is found in the group of its larger end. A task reports
-the links that join its fingerprints, a forest, so output stays linear in the
-fingerprints; components are then closed by alternating star joins over written
+Two fingerprints within ``LIMIT`` bits agree on one of ``LIMIT + 1`` blocks of
+bits. So each is ranked once for every block, rotated to bring that block to
+the front, and pairs need only meet where their fronts agree: a fingerprint makes
+three rows, however large the input. The upper nodes are Gray ranges of about
+equal counts, cut from exact counts of ``2^16`` prefixes, and where one prefix is
+crowded, of ``2^32``; they are few (``UPPER_NODES`` a block) and broadcast. Inside a
+crowded front a fingerprint also visits the later nodes whose shared bits leave
+it within the limit. A task holds one upper node and builds the levels below.
+
+A task reports the links that join its fingerprints as a forest, so output
+stays linear; components are then closed by alternating star joins over written
 tables.
 
 Defined results: null counts as empty; texts without words have fingerprint zero
@@ -28,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.shared import drop, store
@@ -105,8 +109,8 @@ class GrayTree:
     """The lower levels of the index over sorted distinct fingerprints."""
 
     def __init__(self, prints: np.ndarray) -> None:
-        order = np.argsort(gray_rank(prints), kind="stable")
-        self.prints = prints[order]
+        self.order = np.argsort(gray_rank(prints), kind="stable")
+        self.prints = prints[self.order]
         both, none = self.prints, ~self.prints  # bits that are one, zero in all below
         self.levels = []
         while len(both) > 1:
@@ -171,54 +175,71 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _group(limit: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        prints = group["fp"].to_numpy().view(np.uint64)
-        own = group["own"].to_numpy(bool)
-        mine = prints[own]
-        a, b = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        if len(mine):
-            tree = GrayTree(mine)
-            q, p = tree.search(prints, limit)
-            a, b = prints[q], tree.prints[p]
-            rank_a, rank_b = gray_rank(a), gray_rank(b)
-            a, b = a[rank_a < rank_b], b[rank_a < rank_b]
-        x, y = forest(a.view(np.int64), b.view(np.int64))
+        fp, code, own = group["fp"].to_numpy(), group["code"].to_numpy().view(np.uint64), group["own"].to_numpy(bool)
+        tree = GrayTree(code[own])
+        ids = fp[own][tree.order]
+        q, p = tree.search(code, limit)
+        a, b = fp[q], ids[p]
+        x, y = forest(a[a != b], b[a != b])
         return pd.DataFrame({"u": x, "v": y})
 
     return run
 
 
+def rotate(prints: np.ndarray, by: int) -> np.ndarray:
+    return prints << np.uint64(by) | prints >> np.uint64(64 - by) if by else prints.copy()
+
+
 def links(prints: DataFrame, limit: int = LIMIT, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Distinct ``fp`` to links (u, v), a forest within each upper node, whose components are those of all pairs within ``limit``."""
-    spark = prints.sparkSession
+    spark, width = prints.sparkSession, 64 // (limit + 1)
 
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            tops = (gray_rank(batch["fp"].to_numpy().view(np.uint64)) >> np.uint64(64 - PREFIX)).astype(np.int32)
-            values, counts = np.unique(tops, return_counts=True)
-            yield pd.DataFrame({"top": values, "n": counts.astype(np.int64)})
-
-    counts = np.zeros(1 << PREFIX, np.int64)  # at most 2^16 rows, whatever the input
-    for top, n in prints.mapInPandas(prefixes, "top int, n long").groupBy("top").agg(F.sum("n")).collect():
-        counts[top] = n
-    first = upper_nodes(counts, max(group_rows, int(counts.sum()) // UPPER_NODES))
-    last = np.append(first[1:] - np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF))
-    upper = spark.sparkContext.broadcast((first, *shared_bits(first, last)))
+            fp = batch["fp"].to_numpy()
+            for block in range(limit + 1):
+                rank = gray_rank(rotate(fp.view(np.uint64), block * width))
+                yield pd.DataFrame({"block": np.full(len(fp), block, np.int32), "rank": rank.view(np.int64), "fp": fp})
+
+    ranked = store(prints.mapInPandas(turn, "block int, rank long, fp long"), "ranks")
+    top = F.shiftrightunsigned("rank", 64 - PREFIX)
+    counts = np.zeros((limit + 1, 1 << PREFIX), np.int64)  # a fixed number of rows, whatever the input
+    for block, value, n in ranked.groupBy("block", top.alias("top")).agg(F.count("*")).collect():
+        counts[block, value] = n
+    rows = max(group_rows, int(counts[0].sum()) // UPPER_NODES)
+    firsts = [upper_nodes(c, rows) for c in counts]
+    crowded = [(int(b), int(t)) for b, t in zip(*np.nonzero(counts > 2 * rows))]
+    if crowded:  # at most (limit + 1) * UPPER_NODES of them: cut these by twice the prefix
+        some = F.broadcast(spark.createDataFrame(crowded, "block int, top long"))
+        inner = ranked.withColumn("top", top.cast("long")).join(some, ["block", "top"])
+        inner = inner.groupBy("block", "top", F.shiftrightunsigned("rank", 64 - 2 * PREFIX).alias("sub")).agg(F.count("*").alias("n"))
+        order = Window.partitionBy("block", "top").orderBy("sub")
+        part = F.floor((F.sum("n").over(order) - F.col("n")) / rows)
+        cuts = inner.withColumn("part", part).withColumn("last", F.lag("part").over(order)).filter("part > last").select("block", "sub").collect()
+        for block in range(limit + 1):
+            extra = np.array([s for b, s in cuts if b == block], np.uint64) << np.uint64(64 - 2 * PREFIX)
+            firsts[block] = np.union1d(firsts[block], extra)
+    lasts = [np.append(f[1:] - np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)) for f in firsts]
+    upper = spark.sparkContext.broadcast([(f, *shared_bits(f, x)) for f, x in zip(firsts, lasts)])
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first, mask, pattern = upper.value
         for batch in batches:
-            prints = batch["fp"].to_numpy().view(np.uint64)
-            for i in range(0, len(prints), 2048):
-                part = prints[i : i + 2048]
-                rank = gray_rank(part)
+            for block, part in batch.groupby("block"):
+                first, mask, pattern = upper.value[block]
+                rank, fp = part["rank"].to_numpy().view(np.uint64), part["fp"].to_numpy()
                 home = np.searchsorted(first, rank, side="right") - 1
-                near = np.bitwise_count((part[:, None] ^ pattern) & mask) <= limit
-                near &= np.arange(len(first)) >= home[:, None]  # a link is found in the later group
-                row, group = np.nonzero(near)
-                yield pd.DataFrame({"node": group.astype(np.int32), "fp": part[row].view(np.int64), "own": home[row] == group})
+                tail = rank | np.uint64((1 << (64 - width)) - 1)  # the last rank with the same leading block
+                end = np.searchsorted(first, tail, side="right") - 1
+                code, node, row, ahead = gray_code(rank), home, np.arange(len(rank)), 0
+                while len(row):
+                    near = np.bitwise_count((code[row] ^ pattern[node]) & mask[node]) <= limit
+                    yield pd.DataFrame({"block": np.int32(block), "node": node[near].astype(np.int32), "code": code[row[near]].view(np.int64), "fp": fp[row[near]], "own": np.full(int(near.sum()), not ahead)})
+                    ahead += 1
+                    row = row[home[row] + ahead <= end[row]]
+                    node = home[row] + ahead
 
-    routed = prints.mapInPandas(route, "node int, fp long, own boolean")
-    return routed.groupBy("node").applyInPandas(_group(limit), "u long, v long")
+    routed = ranked.mapInPandas(route, "block int, node int, code long, fp long, own boolean")
+    return routed.groupBy("block", "node").applyInPandas(_group(limit), "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -253,3 +274,116 @@ def near_dedup(docs: DataFrame, width: int = 3, limit: int = LIMIT, group_rows:
     labels = named.select("fp", "root").join(lowest, "root").select("fp", "component_id")
     out = prints.join(labels, "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# Near copies by content: the same index over fingerprints of word sets, checked by shingle sketches.
+
+SHINGLE = 5
+SIMILAR = 0.8
+BINS = 256
+REACH = 6
+RECALL = 0.98
+NODE_ROWS = 2048
+
+
+def near_features(text: str, seen: dict[str, int]) -> tuple[int, bytes]:
+    """A fingerprint of the set of words, each weighing its length, and a one-permutation sketch of the five-word shingles.
+
+    A few changed words touch five shingles each but leave the set of words
+    nearly whole, so near copies lie few bits apart. A sketch byte is 0 where no
+    shingle falls in the bin.
+    """
+    words = [w for w in text.translate(_LOWER).split(" ") if w]
+    sketch = np.zeros(BINS, np.uint8)
+    if not words:
+        return 0, sketch.tobytes()
+    if len(seen) > 400_000:
+        seen.clear()
+    hashes = np.array([seen[w] if w in seen else seen.setdefault(w, xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), SEED)) for w in words], np.uint64)
+    distinct, at = np.unique(hashes, return_index=True)
+    weight = np.array([len(words[i]) for i in at.tolist()], np.float32)
+    bits = np.unpackbits(distinct.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    ones = weight @ bits.astype(np.float32)
+    fp = sum(1 << int(b) for b in np.flatnonzero(2 * ones > weight.sum()))
+    width = min(SHINGLE, len(words))
+    mixed = np.zeros(len(words) - width + 1, np.uint64)
+    for i in range(width):
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + len(mixed)]
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(29)
+    least = np.full(BINS, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    np.minimum.at(least, (mixed & np.uint64(BINS - 1)).astype(np.int64), mixed >> np.uint64(8))
+    used = least != np.uint64(0xFFFFFFFFFFFFFFFF)
+    sketch[used] = (least[used] % np.uint64(255)).astype(np.uint8) + 1
+    return fp, sketch.tobytes()
+
+
+def _similar(limit: int, similar: float):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        codes, ids = group["code"].to_numpy().view(np.uint64), group["id"].to_numpy()
+        sketches = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), BINS)
+        tree = GrayTree(codes)
+        us, vs = [], []
+        for at in range(0, len(codes), 1024):
+            q, p = tree.search(codes[at : at + 1024], limit)
+            q, p = q + at, tree.order[p]
+            q, p = q[ids[q] < ids[p]], p[ids[q] < ids[p]]
+            for i in range(0, len(q), 16384):
+                a, b = sketches[q[i : i + 16384]], sketches[p[i : i + 16384]]
+                either = ((a | b) > 0).sum(axis=1)
+                same = ((a == b) & (a > 0)).sum(axis=1)
+                good = (same >= similar * either) | (either == 0)
+                us.append(ids[q[i : i + 16384][good]])
+                vs.append(ids[p[i : i + 16384][good]])
+            if sum(map(len, us)) > 4_000_000:
+                x, y = forest(np.concatenate(us), np.concatenate(vs))
+                us, vs = [x], [y]
+        x, y = forest(np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.int64),) * 2
+        return pd.DataFrame({"u": x, "v": y})
+
+    return run
+
+
+def near_groups(docs: DataFrame, similar: float = SIMILAR, limit: int = REACH, node_rows: int = NODE_ROWS) -> DataFrame:
+    """doc_id and component_id (the smallest doc_id joined to it) by shingle similarity, one row per input row.
+
+    Fingerprints are put into several Gray orders, each of another permutation
+    of the bits, and searched within upper nodes of about ``node_rows``. With p
+    bits shared in a node, a pair ``limit`` bits apart meets in one order with
+    probability (1 - limit/64)^p; the number of orders follows from p so that it
+    meets in one of them with probability ``RECALL``. Pairs are kept where the
+    sketches put the shingles' similarity at ``similar`` or more. Equal
+    fingerprints with equal sketches are one entry throughout.
+    """
+    spark = docs.sparkSession
+
+    @F.pandas_udf("fp long, sketch binary")
+    def features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, int] = {}
+        for batch in batches:
+            made = [near_features(t, seen) for t in batch]
+            yield pd.DataFrame({"fp": np.array([m[0] for m in made], np.uint64).view(np.int64), "sketch": [m[1] for m in made]})
+
+    rows = docs.select("doc_id", features(F.coalesce("text", F.lit(""))).alias("f")).select("doc_id", "f.fp", "f.sketch")
+    rows = store(rows.select("doc_id", "fp", "sketch", F.xxhash64("fp", "sketch").alias("id")), "features")
+    distinct = store(rows.groupBy("id").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("low")), "classes")
+    n = distinct.count()
+    shared = max(1, int(np.ceil(np.log2(max(2, n / node_rows)))))
+    orders = max(2, int(np.ceil(np.log(1 - RECALL) / np.log(1 - (1 - limit / 64) ** shared)))) if n > node_rows else 1
+    permutations = [np.random.default_rng(k).permutation(64) for k in range(orders)]
+
+    def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bits = np.unpackbits(batch["fp"].to_numpy("<i8").view(np.uint8).reshape(-1, 8), axis=1)
+            for k, order in enumerate(permutations):
+                code = np.ascontiguousarray(np.packbits(bits[:, order], axis=1)).view("<u8").ravel()
+                node = (gray_rank(code) >> np.uint64(64 - shared)).astype(np.int64) if orders > 1 else np.zeros(len(code), np.int64)
+                yield pd.DataFrame({"node": node + (k << 48), "code": code.view(np.int64), "id": batch["id"], "sketch": batch["sketch"]})
+
+    routed = distinct.select("fp", "id", "sketch").mapInPandas(turn, "node long, code long, id long, sketch binary")
+    found = routed.groupBy("node").applyInPandas(_similar(limit, similar), "u long, v long")
+    roots = store(components(found), "roots").withColumnRenamed("id", "rid")
+    named = distinct.select("id", "low").join(roots, F.col("id") == F.col("rid"), "left").select("id", "low", F.coalesce("root", "id").alias("root"))
+    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    labels = named.select("id", "root").join(lowest, "root").select("id", "component_id")
+    return rows.select("doc_id", "id").join(labels, "id").select("doc_id", "component_id")

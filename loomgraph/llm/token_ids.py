@@ -26,11 +26,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 from unicodedata import normalize
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +41,8 @@ from loomgraph.shared import drop, store
 END_ID = 1
 SHARD_IDS = 2_000_000
 BUCKET_KEYS = 20_000
-MEMORY = 500_000
+MEMORY = 1_200_000
+SLICE_BYTES = 8 << 20
 GAMMA = 1.5
 _TAIL = ".,!?;:*#%&$"
 
@@ -61,6 +64,7 @@ class Encoder:
         self.closes = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def _learn(self, new: list[str]) -> None:
         """Many words in one call. Words of letters are one piece, closed by one token; else a token belongs to the word in which it starts."""
@@ -78,44 +82,83 @@ class Encoder:
                 at = [0, *(ends * width).tolist()]
                 self.words.update((w, raw[x:y]) for w, x, y in zip(part, at, at[1:]))
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.words) > MEMORY:
-            self.words = {"": b""}
-        words = self.words
-        new = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in words]
-        if new:
-            parts, pieces = [], {}
-            for w in new:
-                base = w.rstrip(_TAIL)
-                if not base.isalpha() or not (base.isascii() or normalize("NFC", base).lower().isalpha()):
-                    base, tail = w, ""  # case folding may leave a mark, which joins what follows
+    def _recall(self, distinct: list[str]) -> list[bytes]:
+        """The ids of distinct words, new ones learnt in a few calls."""
+        if len(self.words) > MEMORY // 2:  # words not met since the last turn are forgotten
+            self.older, self.words = self.words, {"": b""}
+        words, older = self.words, self.older
+        found = list(map(words.get, distinct))
+        missing = []
+        for i, x in enumerate(found):
+            if x is None:
+                w = distinct[i]
+                if (x := older.get(w)) is None:
+                    missing.append(i)
                 else:
-                    tail = w[len(base) :]
-                    if self.lowers and base.isascii():
-                        base = base.lower()
-                    pieces[tail] = None
-                pieces[base] = None
-                parts.append((w, base, tail))
+                    found[i] = words[w] = x
+        parts, pieces = [], {}
+        for i in missing:
+            w = distinct[i]
+            base = w.rstrip(_TAIL)
+            if not base.isalpha() or not (base.isascii() or normalize("NFC", base).lower().isalpha()):
+                base, tail = w, ""  # case folding may leave a mark, which joins what follows
+            else:
+                tail = w[len(base) :]
+                if self.lowers and base.isascii():
+                    base = base.lower()
+                pieces[tail] = None
+            pieces[base] = None
+            parts.append((i, base, tail))
+        if parts:
+            for x in pieces:
+                if x not in words and x in older:
+                    words[x] = older[x]
             self._learn([x for x in pieces if x not in words])
-            words.update((w, words[base] + words[tail]) for w, base, tail in parts)
-        return [np.frombuffer(b"".join(map(words.__getitem__, s)), self.kind) for s in split]
+        for i, base, tail in parts:
+            found[i] = words[distinct[i]] = words[base] + words[tail]
+        return found
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; words are split and made distinct by Arrow, ids gathered by numpy."""
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        at = coded.indices.to_numpy()
+        found = self._recall(coded.dictionary.to_pylist())
+        width = int(self.kind[2])
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // width
+        starts = np.cumsum(lengths) - lengths
+        pool = np.frombuffer(b"".join(found), self.kind)
+        each = lengths[at]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        ids = pool[np.repeat(starts[at] - ends[:-1], each) + np.arange(ends[-1])]
+        docs = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+        return [ids[x:y] for x, y in zip(docs, docs[1:])]
+
+
+@lru_cache(maxsize=2)
+def encoder_for(path: str) -> Encoder:
+    """One encoder for each Python worker; what it remembers serves all tasks that the worker runs."""
+    return Encoder(path)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n (with the end id), ids (raw bytes, 2 or 4 a piece as the vocabulary needs), wide."""
 
-    @F.pandas_udf("n long, ids binary, wide boolean")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(path)
-        end = np.array([END_ID], encoder.kind)
-        for batch in batches:
-            texts, ids = batch.tolist(), []
-            for i in range(0, len(texts), 500):
-                ids += [np.concatenate([x, end]) for x in encoder(texts[i : i + 500])]
-            yield pd.DataFrame({"n": [len(x) for x in ids], "ids": [x.tobytes() for x in ids], "wide": encoder.kind == "<u4"})
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
-    return docs.select("doc_id", run(F.coalesce("text", F.lit(""))).alias("e")).select("doc_id", "e.*")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_for(path)
+        end = np.array([END_ID], encoder.kind).tobytes()
+        for batch in batches:
+            texts = batch.column("text").cast(pa.large_string())
+            sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1])
+            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE_BYTES)) + 1).tolist(), len(texts)]
+            for x, y in zip(cuts, cuts[1:]):
+                ids = encoder(texts[x:y])
+                made = [pa.array([len(i) + 1 for i in ids], pa.int64()), pa.array([i.tobytes() + end for i in ids], pa.binary()), pa.array([encoder.kind == "<u4"] * len(ids), pa.bool_())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[x:y], *made], ["doc_id", "n", "ids", "wide"])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n long, ids binary, wide boolean")
 
 
 def _cut(shard_ids: int):
