@@ -10,15 +10,18 @@ A byte is removed if a string of ``LENGTH`` bytes covering it also starts earlie
 2. In order of (minimiser, piece, document, start) all but the first of equal
    pieces are repeats. A minimiser with one distinct piece, in which no window
    can recur, is settled. The other pieces are suspects.
-3. A second scan fetches the suspects' bytes. Their suffixes are sorted bucket
-   by bucket with one symbol of every piece inserted per round: the collection's
-   BWT and its longest common prefixes are read from the last round's files and
-   written to new ones, sequentially. Neighbours that share ``LENGTH`` bytes are
-   equal windows; all but the first are repeats.
-
-Pieces of a crowded minimiser enter step 3 as single windows, dealt by the hash
-of the window itself, so no bucket holds one hot key. Equality in step 2 is of a
-64-bit piece hash under a 64-bit minimiser; in step 3 it is of bytes.
+3. A second scan fetches the bytes of all pieces of these minimisers, found
+   through a bitmap of fixed size, as blocks of windows keyed by the bytes that a
+   block's windows share. Of equal blocks all but the first are repeats, and a
+   block alone under its key is settled.
+4. The rest is sorted bucket by bucket with one symbol of every block inserted
+   per round: the collection's BWT and its longest common prefixes are read from
+   the last round's files and written to new ones, sequentially. Neighbours that
+   share ``LENGTH`` bytes are equal windows; all but the first are repeats.
+
+Blocks of a crowded key enter step 4 as single windows, dealt by the hash of the
+window itself, so no bucket holds one hot key. Equality in step 2 is of a 64-bit
+piece hash under a 64-bit minimiser; in steps 3 and 4 it is of bytes.
 
 Defined results: null text is empty; texts below ``LENGTH`` bytes lose nothing;
 rows that share a doc_id, or have none, are documents of their own, in order of
@@ -47,8 +50,10 @@ LONGEST = 96
 #: Added to a piece's number of windows where one of them may recur inside it.
 INNER = 1000
 BITS = 26
-BUCKET_BYTES = 600_000
-CROWDED = 1500
+BUCKET_BYTES = 8_000_000
+SORT_BYTES = 500_000
+CROWDED = 4000
+HALF = (LENGTH - K + 2) // 2
 _P = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(3).integers(0, 1 << 64, 256, dtype=np.uint64)
 
@@ -77,17 +82,17 @@ def minimisers(data: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.nd
         size *= 2
     rest = width - size
     least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
-    return h[: len(least)], least
+    return h, least
 
 
-def cut(data: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pieces of a text: minimiser, first window, number of windows, and whether a window may recur inside the piece.
+def cut(data: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
+    """Pieces of a text: minimiser, first window, number of windows, whether a window may recur inside the piece; and all hashes.
 
     Equal windows have their leftmost minimum at one offset, so a piece holds
     two of them only if a window before its last begins with the minimum.
     """
     if len(data) < length:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.uint64)
     here, least = minimisers(data, length, k)
     first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
     runs = np.diff(np.append(first, len(least)))
@@ -96,8 +101,8 @@ def cut(data: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray,
         inner = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         first = np.repeat(first, parts) + inner * LONGEST
         runs = np.minimum(LONGEST, np.repeat(runs, parts) - inner * LONGEST)
-    begins = np.concatenate([[0], np.cumsum(here == least)])
-    return least[first], first, runs, begins[first + runs - 1] > begins[first]
+    begins = np.concatenate([[0], np.cumsum(here[: len(least)] == least)])
+    return least[first], first, runs, begins[first + runs - 1] > begins[first], here
 
 
 def merge(doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,7 +129,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         minis, hashes, docs, starts, counts, held = [], [], [], [], [], 0
         for i, (doc, data) in enumerate(_batch_texts(batch)):
-            mini, first, n, inner = cut(data)
+            mini, first, n, inner, _ = cut(data)
             if len(mini):
                 raw = memoryview(data)
                 hashes.append(np.array([digest(raw[a:b]) for a, b in zip(first.tolist(), (first + n + (LENGTH - 1)).tolist())], np.uint64))
@@ -181,19 +186,50 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (mini[-1], piece[-1], doc[-1], start[-1], n[-1], bool(many[-1]))
 
 
+_BLOCKS = "key long, doc long, start long, body binary"
+
+
 def _fetch(bits):
+    """The suspects' bytes as blocks of windows.
+
+    All windows of a block have their minimum in one half of their offsets, so
+    they share ``LENGTH - HALF + 1`` bytes, whose hash is the block's key: equal
+    windows are in blocks of one key. Blocks met again in a batch are repeats
+    (key null, the number of windows as text).
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near = bits.value
+        near, digest = bits.value, xxhash.xxh3_64_intdigest
         for batch in batches:
             rows: list[tuple] = []
-            for doc, data in _batch_texts(batch):
-                mini, first, n, _ = cut(data)
+            seen: set[tuple[int, bytes]] = set()
+            for doc, data in sorted(_batch_texts(batch), key=lambda x: x[0]):
+                mini, first, n, inner, here = cut(data)
                 low = (mini & np.uint64((1 << BITS) - 1)).astype(np.int64)
                 hit = np.flatnonzero(near[low >> 5] >> (low & 31).astype(np.uint32) & np.uint32(1))
-                raw = data.tobytes() if len(hit) else b""
-                rows += [(m, doc, a, raw[a : a + c + LENGTH - 1]) for m, a, c in zip(mini[hit].view(np.int64).tolist(), first[hit].tolist(), n[hit].tolist())]
-            mini, doc, start, body = zip(*rows) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([pa.array(mini, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(body, pa.binary())], ["mini", "doc", "start", "body"])
+                if not len(hit):
+                    continue
+                raw = data.tobytes()
+                for a, c, recurs, least in zip(first[hit].tolist(), n[hit].tolist(), inner[hit].tolist(), mini[hit]):
+                    here_ = here[a : a + c + LENGTH - K] == least
+                    ends = (a + np.flatnonzero(here_)).tolist() if recurs else [a + int(here_.argmax())]
+                    blocks, x = [], a
+                    for p in ends:  # windows from x up to y have their leftmost minimum at p
+                        y = min(p + 1, a + c)
+                        turn = min(y, max(x, p - HALF + 1))  # from here on in the first half of their offsets
+                        blocks += [(x_, y_, raw[e : e - HALF + 1 + LENGTH], half) for x_, y_, e, half in ((turn, y, p, 0), (x, turn, p - HALF, 1)) if x_ < y_]
+                        x = y
+                        if x == a + c:
+                            break
+                    for x, y, core, half in blocks:
+                        body, key = raw[x : y + LENGTH - 1], digest(core, half) - (1 << 63)
+                        if (key, body) in seen:
+                            rows.append((None, doc, x, b"%d" % (y - x)))
+                        else:
+                            seen.add((key, body))
+                            rows.append((key, doc, x, body))
+            key, doc, start, body = zip(*rows) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(body, pa.binary())], ["key", "doc", "start", "body"])
 
     return run
 
@@ -311,7 +347,27 @@ def repeats(pieces: list[bytes], doc: np.ndarray, start: np.ndarray, length: int
 
 
 def _bucket(group: pd.DataFrame) -> pd.DataFrame:
-    doc, start, count = repeats([bytes(b) for b in group["body"]], group["doc"].to_numpy(np.int64), group["start"].to_numpy(np.int64))
+    """Blocks that share a key and differ go through the BWT; of equal blocks all but the first are repeats."""
+    group = group.sort_values(["key", "doc", "start"], kind="stable")
+    again = group.duplicated(["key", "body"]).to_numpy()
+    count = group["body"].str.len().to_numpy(np.int64) - (LENGTH - 1)
+    doc, start, key = (group[c].to_numpy(np.int64) for c in ("doc", "start", "key"))
+    out = [merge(doc[again], start[again], count[again])]
+    left = np.flatnonzero(~again)
+    several = pd.Series(key[left]).duplicated(keep=False).to_numpy()
+    left = left[several]
+    body = group["body"].to_numpy()
+    ends = np.cumsum(count[left] + LENGTH - 1)
+    cuts = np.flatnonzero(np.diff(key[left]) != 0) + 1  # keys stay whole
+    part = 0
+    while part < len(left):
+        stop = np.searchsorted(ends, (ends[part - 1] if part else 0) + SORT_BYTES, side="right")
+        later = cuts[cuts >= max(stop, part + 1)]
+        stop = int(later[0]) if len(later) and stop < len(left) else len(left)
+        rows = left[part:stop]
+        out.append(repeats([bytes(x) for x in body[rows]], doc[rows], start[rows]))
+        part = stop
+    doc, start, count = (np.concatenate(x) for x in zip(*out))
     return pd.DataFrame({"doc": doc, "start": start, "n": count.astype(np.int32)})
 
 
@@ -319,15 +375,15 @@ def _deal(buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             hot = batch["hot"].to_numpy(bool)
+            cool = batch[~hot]
+            yield pd.DataFrame({"bucket": (cool["key"].to_numpy(np.int64).view(np.uint64) % np.uint64(buckets)).astype(np.int64), "key": cool["key"], "doc": cool["doc"], "start": cool["start"], "body": cool["body"]})
             rows = []
             for doc, start, body in zip(batch["doc"][hot], batch["start"][hot], batch["body"][hot]):
                 for i in range(len(body) - LENGTH + 1):
-                    window = body[i : i + LENGTH]
-                    rows.append((xxhash.xxh3_64_intdigest(window) % buckets, doc, start + i, window))
-            keys = (batch["mini"].to_numpy(np.int64)[~hot].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-            yield pd.DataFrame({"bucket": keys, "doc": batch["doc"][~hot].to_numpy(), "start": batch["start"][~hot].to_numpy(), "body": batch["body"][~hot].to_numpy()})
+                    key = xxhash.xxh3_64_intdigest(body[i : i + LENGTH], 3) - (1 << 63)
+                    rows.append((key % buckets, key, doc, start + i, body[i : i + LENGTH]))
             if rows:
-                yield pd.DataFrame(rows, columns=["bucket", "doc", "start", "body"])
+                yield pd.DataFrame(rows, columns=["bucket", "key", "doc", "start", "body"])
 
     return run
 
@@ -338,7 +394,7 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     raw = texts.select("doc", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     pieces = raw.mapInArrow(_extract, _PIECES).repartition("mini").sortWithinPartitions("mini", "piece", "doc", "start")
     settled = store(pieces.mapInArrow(_settle, _SETTLED), "settled")
-    suspects = settled.filter("suspect").select("mini", "doc", "start", "n")
+    suspects = settled.filter("suspect").select("mini")
 
     low = F.col("mini").bitwiseAND(F.lit((1 << BITS) - 1))
     words = suspects.select(F.shiftright(low, 5).alias("word"), F.expr("shiftleft(1L, cast(mini & 31L as int))").alias("bit"))
@@ -347,14 +403,15 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     bits[table["word"].to_numpy(np.int64)] = table["bits"].to_numpy(np.int64)
     shared = spark.sparkContext.broadcast(bits)
 
-    hot = suspects.groupBy("mini").agg(F.count("*").alias("c")).filter(F.col("c") > CROWDED).select("mini", F.lit(True).alias("hot"))
-    fetched = raw.mapInArrow(_fetch(shared), "mini long, doc long, start long, body binary")
-    wanted = store(fetched.join(suspects.drop("n"), ["mini", "doc", "start"]).join(hot, "mini", "left").withColumn("hot", F.coalesce("hot", F.lit(False))), "suspects")
-    weight = F.when(F.col("hot"), (F.length("body") - LENGTH + 1) * LENGTH).otherwise(F.length("body"))
-    total = wanted.agg(F.sum(weight)).first()[0] or 0
-    dealt = wanted.mapInPandas(_deal(max(1, -(-total // BUCKET_BYTES))), "bucket long, doc long, start long, body binary")
+    blocks = store(raw.mapInArrow(_fetch(shared), _BLOCKS), "blocks")
+    several = blocks.filter("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("c"))
+    hot = several.filter(F.col("c") > CROWDED).select("key", F.lit(True).alias("hot"))
+    wanted = blocks.filter("key IS NOT NULL").join(hot, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    total = blocks.agg(F.sum(F.length("body"))).first()[0] or 0
+    dealt = wanted.mapInPandas(_deal(max(1, -(-total // BUCKET_BYTES))), "bucket long, key long, doc long, start long, body binary")
     sorted_ = dealt.groupBy("bucket").applyInPandas(_bucket, "doc long, start long, n int")
-    return settled.filter("NOT suspect").select("doc", "start", "n").unionByName(sorted_)
+    again = blocks.filter("key IS NULL").select("doc", "start", F.col("body").cast("string").cast("int").alias("n"))
+    return settled.filter("NOT suspect").select("doc", "start", "n").unionByName(again).unionByName(sorted_)
 
 
 def strip(docs: DataFrame, texts: bool = False) -> DataFrame:
