@@ -237,11 +237,11 @@ def node_upsert(spark, sf):
     return graph.upsert_nodes(raw)
 
 
-@query("""SELECT 'S' || l_suppkey AS src, 'P' || l_partkey AS dst, 'CodeRelation' AS rel_table, arg_max(l_returnflag, l_orderkey * 10 + l_linenumber) AS type, arg_max(l_discount, l_orderkey * 10 + l_linenumber) AS confidence
+@query("""SELECT 'S' || l_suppkey AS src, 'P' || l_partkey AS dst, 'CodeRelation' AS rel_table, arg_max(l_returnflag, (l_orderkey, l_linenumber, l_returnflag, l_discount)) AS type, arg_max(l_discount, (l_orderkey, l_linenumber, l_returnflag, l_discount)) AS confidence
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey, l_partkey""")
 def edge_upsert(spark, sf):
     s, p = F.concat(F.lit("S"), F.col("l_suppkey").cast("string")), F.concat(F.lit("P"), F.col("l_partkey").cast("string"))
-    raw = t(spark, sf, "lineitem").select(s.alias("src"), p.alias("dst"), F.lit("CodeRelation").alias("rel_table"), F.col("l_returnflag").alias("type"), F.col("l_discount").alias("confidence"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    raw = t(spark, sf, "lineitem").select(s.alias("src"), p.alias("dst"), F.lit("CodeRelation").alias("rel_table"), F.col("l_returnflag").alias("type"), F.col("l_discount").alias("confidence"), F.struct("l_orderkey", "l_linenumber", "l_returnflag", "l_discount").alias("seq"))
     return graph.upsert_edges(raw, _supply_nodes(spark, sf))
 
 
