@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.labelled import release
 from loomgraph.shared import store
 
 WINDOW = 8
@@ -160,6 +161,7 @@ def hits(docs: DataFrame, windows: DataFrame, width: int = WINDOW, literals: int
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
+        release()
         bits, shorter = shared.value
         uid, templates = TaskContext.get().partitionId() << 33, Templates()
         for batch in batches:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import zlib
 
 import numpy as np
@@ -56,5 +57,11 @@ def pair(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
     return (a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(salt * 0x165667B19E3779F9 % (1 << 64))) >> np.uint64(32)
 
 
+def release() -> None:
+    """Give up the words that the token encoder remembers in this Python worker, which a later stage may run in."""
+    if "loomgraph.llm.token_ids" in sys.modules:
+        sys.modules["loomgraph.llm.token_ids"].encoder_for.cache_clear()
+
+
 def sigmoid(x: float) -> float:
     return float(1.0 / (1.0 + np.exp(-min(max(x, -35.0), 35.0))))

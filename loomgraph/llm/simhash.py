@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.llm.labelled import release
 from loomgraph.shared import drop, store
 
 SEED = 42
@@ -67,6 +68,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 
     @F.pandas_udf("long")
     def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release()
         for batch in batches:
             yield pd.Series(np.array([fingerprint(t, width) for t in batch], np.uint64).view(np.int64))
 
@@ -281,8 +283,8 @@ def near_dedup(docs: DataFrame, width: int = 3, limit: int = LIMIT, group_rows:
 SHINGLE = 5
 SIMILAR = 0.8
 BINS = 256
-REACH = 6
-RECALL = 0.98
+REACH = 7
+RECALL = 0.99
 NODE_ROWS = 2048
 
 
@@ -359,6 +361,7 @@ def near_groups(docs: DataFrame, similar: float = SIMILAR, limit: int = REACH, n
 
     @F.pandas_udf("fp long, sketch binary")
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        release()
         seen: dict[str, int] = {}
         for batch in batches:
             made = [near_features(t, seen) for t in batch]

@@ -41,7 +41,7 @@ from loomgraph.shared import drop, store
 END_ID = 1
 SHARD_IDS = 2_000_000
 BUCKET_KEYS = 20_000
-MEMORY = 1_500_000
+MEMORY = 1_350_000
 SLICE_BYTES = 14 << 20
 GAMMA = 1.5
 _TAIL = ".,!?;:*#%&$"

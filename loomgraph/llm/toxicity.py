@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.labelled import Words, held_out, labelled_sample, pair, sigmoid
+from loomgraph.llm.labelled import Words, held_out, labelled_sample, pair, release, sigmoid
 
 ALPHA, BETA, L1, L2, EPOCHS, LEAST_DOCS = 3.0, 1.0, 14.0, 0.1, 8, 3
 #: Errors on toxic rows count so many times.
@@ -92,6 +92,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release()
         keys, weights, bias = shared.value
         words, near = Words(), np.zeros(1 << 16, bool)
         near[keys >> np.uint32(16)] = True
