@@ -153,7 +153,7 @@ def test_near_groups_join_near_copies_alone(spark):
         text = [word() for _ in range(300)]
         for c in range(3):
             copy = list(text)
-            for i in dice.sample(range(300), 2 * c):
+            for i in dice.sample(range(300), c):
                 copy[i] = word()
             want[len(docs)] = 3 * g
             docs.append((len(docs), " ".join(copy)))
