@@ -41,7 +41,7 @@ from loomgraph.shared import drop, store
 END_ID = 1
 SHARD_IDS = 2_000_000
 BUCKET_KEYS = 20_000
-MEMORY = 1_350_000
+MEMORY = 1_250_000
 SLICE_BYTES = 14 << 20
 GAMMA = 1.5
 _TAIL = ".,!?;:*#%&$"
@@ -165,6 +165,7 @@ def _cut(shard_ids: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
+        encoder_for.cache_clear()  # encoding is over; a shard needs the room
         part, cut, held, docs, lengths, wide = TaskContext.get().partitionId(), 0, 0, [], [], False
         payload: list[bytes] = []
 
@@ -210,6 +211,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
     """One row per stored document, decoded from the payload: part, cut, doc_id, position, n_tokens, ids_crc32."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder_for.cache_clear()
         for batch in batches:
             for row in batch.itertuples(index=False):
                 ids = np.frombuffer(row.payload, "<u4" if row.wide else "<u2").astype("<u4")
