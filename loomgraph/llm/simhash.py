@@ -288,8 +288,8 @@ RECALL = 0.99
 NODE_ROWS = 2048
 
 
-def near_features(text: str, seen: dict[str, int]) -> tuple[int, bytes]:
-    """A fingerprint of the set of words, each weighing its length, and a one-permutation sketch of the five-word shingles.
+def near_features(text: str, seen: dict[str, int]) -> tuple[int, bytes, np.ndarray]:
+    """A fingerprint of the set of words, each weighing its length, a one-permutation sketch of the five-word shingles, and their 64-bit hashes.
 
     A few changed words touch five shingles each but leave the set of words
     nearly whole, so near copies lie few bits apart. A sketch byte is 0 where no
@@ -298,7 +298,7 @@ def near_features(text: str, seen: dict[str, int]) -> tuple[int, bytes]:
     words = [w for w in text.translate(_LOWER).split(" ") if w]
     sketch = np.zeros(BINS, np.uint8)
     if not words:
-        return 0, sketch.tobytes()
+        return 0, sketch.tobytes(), np.zeros(0, np.uint64)
     if len(seen) > 400_000:
         seen.clear()
     hashes = np.array([seen[w] if w in seen else seen.setdefault(w, xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), SEED)) for w in words], np.uint64)
@@ -317,31 +317,111 @@ def near_features(text: str, seen: dict[str, int]) -> tuple[int, bytes]:
     np.minimum.at(least, (mixed & np.uint64(BINS - 1)).astype(np.int64), mixed >> np.uint64(8))
     used = least != np.uint64(0xFFFFFFFFFFFFFFFF)
     sketch[used] = (least[used] % np.uint64(255)).astype(np.uint8) + 1
-    return fp, sketch.tobytes()
+    return fp, sketch.tobytes(), mixed
+
+
+def _compare(a: np.ndarray, b: np.ndarray, similar: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of sketches to (estimated similarity, surely similar, to be settled on the shingles).
+
+    Three standard errors of the estimate lie between what a sketch settles and the threshold.
+    """
+    either = ((a | b) > 0).sum(axis=1)
+    estimate = ((a == b) & (a > 0)).sum(axis=1) / np.maximum(either, 1)
+    margin = np.minimum(3 * np.sqrt(similar * (1 - similar) / np.maximum(either, 1)), 0.3)
+    sure = (estimate >= similar + margin) | (either == 0)
+    return estimate, sure, ~sure & (estimate >= similar - margin)
+
+
+def _roots(ids: np.ndarray, us: list[np.ndarray], vs: list[np.ndarray]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """The root of each id under the links, and the links as a forest."""
+    x, y = forest(np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.int64),) * 2
+    root = ids.copy()
+    if len(x):
+        at = np.searchsorted(x, ids)
+        at[at == len(x)] = 0
+        root = np.where(x[at] == ids, y[at], ids)
+    return root, (x, y)
 
 
 def _similar(limit: int, similar: float):
+    """Links that sketches settle, ``node`` null; then (id, root, node) of the ids in pairs left to be settled."""
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
         codes, ids = group["code"].to_numpy().view(np.uint64), group["id"].to_numpy()
         sketches = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), BINS)
         tree = GrayTree(codes)
-        us, vs = [], []
+        us, vs, open_a, open_b = [], [], [], []
+        waiting = np.zeros(len(ids), bool)
+
+        def settle() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            root, (x, y) = _roots(ids, us, vs)
+            us[:], vs[:] = [x], [y]
+            for a, b in zip(open_a, open_b):
+                apart = root[a] != root[b]
+                waiting[a[apart]] = waiting[b[apart]] = True
+            open_a.clear()
+            open_b.clear()
+            return root, x, y
+
         for at in range(0, len(codes), 1024):
             q, p = tree.search(codes[at : at + 1024], limit)
             q, p = q + at, tree.order[p]
             q, p = q[ids[q] < ids[p]], p[ids[q] < ids[p]]
             for i in range(0, len(q), 16384):
-                a, b = sketches[q[i : i + 16384]], sketches[p[i : i + 16384]]
-                either = ((a | b) > 0).sum(axis=1)
-                same = ((a == b) & (a > 0)).sum(axis=1)
-                good = (same >= similar * either) | (either == 0)
-                us.append(ids[q[i : i + 16384][good]])
-                vs.append(ids[p[i : i + 16384][good]])
-            if sum(map(len, us)) > 4_000_000:
-                x, y = forest(np.concatenate(us), np.concatenate(vs))
-                us, vs = [x], [y]
-        x, y = forest(np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.int64),) * 2
-        return pd.DataFrame({"u": x, "v": y})
+                a, b = q[i : i + 16384], p[i : i + 16384]
+                _, sure, unsettled = _compare(sketches[a], sketches[b], similar)
+                us.append(ids[a[sure]])
+                vs.append(ids[b[sure]])
+                open_a.append(a[unsettled])
+                open_b.append(b[unsettled])
+            if sum(map(len, us)) + sum(map(len, open_a)) > 4_000_000:
+                settle()
+        root, x, y = settle()
+        node = np.full(int(waiting.sum()), group["node"].iloc[0])
+        links = pd.DataFrame({"u": x, "v": y, "node": pd.array([None] * len(x), dtype="Int64")})
+        left = pd.DataFrame({"u": ids[waiting], "v": root[waiting], "node": pd.array(node, dtype="Int64")})
+        return pd.concat([links, left], ignore_index=True)
+
+    return run
+
+
+def _exact(limit: int, similar: float):
+    """Links among the ids that wait in a node, by the similarity of their shingles; a link within a component adds nothing and is passed over."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        ids = group["u"].to_numpy()
+        sketches = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), BINS)
+        sets = [np.frombuffer(x, "<u8") for x in group["shingles"]]
+        prints = group["fp"].to_numpy().view(np.uint64)
+        tree = GrayTree(prints)
+        parent = {r: r for r in group["v"].tolist()}
+        roots = group["v"].tolist()
+
+        def find(r: int) -> int:
+            while parent[r] != r:
+                parent[r] = parent[parent[r]]
+                r = parent[r]
+            return r
+
+        us, vs = [], []
+        for at in range(0, len(ids), 1024):
+            q, p = tree.search(prints[at : at + 1024], limit)
+            q, p = q + at, tree.order[p]
+            q, p = q[ids[q] < ids[p]], p[ids[q] < ids[p]]
+            for i in range(0, len(q), 16384):
+                a, b = q[i : i + 16384], p[i : i + 16384]
+                estimate, _, unsettled = _compare(sketches[a], sketches[b], similar)
+                for k in np.flatnonzero(unsettled)[np.argsort(-estimate[unsettled], kind="stable")].tolist():
+                    x, y = int(a[k]), int(b[k])
+                    rx, ry = find(roots[x]), find(roots[y])
+                    if rx == ry:
+                        continue
+                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if both >= similar * (len(sets[x]) + len(sets[y]) - both):
+                        parent[rx] = ry
+                        us.append(ids[x])
+                        vs.append(ids[y])
+        return pd.DataFrame({"u": np.array(us, np.int64), "v": np.array(vs, np.int64)})
 
     return run
 
@@ -354,20 +434,28 @@ def near_groups(docs: DataFrame, similar: float = SIMILAR, limit: int = REACH, n
     bits shared in a node, a pair ``limit`` bits apart meets in one order with
     probability (1 - limit/64)^p; the number of orders follows from p so that it
     meets in one of them with probability ``RECALL``. Pairs are kept where the
-    sketches put the shingles' similarity at ``similar`` or more. Equal
-    fingerprints with equal sketches are one entry throughout.
+    shingles' similarity is ``similar`` or more: by their sketches where these
+    put it clearly to one side, else by the shingles themselves, which are sent
+    only for documents in an open pair, once a node. Equal fingerprints with
+    equal sketches are one entry throughout.
     """
     spark = docs.sparkSession
 
-    @F.pandas_udf("fp long, sketch binary")
-    def features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        release()
-        seen: dict[str, int] = {}
-        for batch in batches:
-            made = [near_features(t, seen) for t in batch]
-            yield pd.DataFrame({"fp": np.array([m[0] for m in made], np.uint64).view(np.int64), "sketch": [m[1] for m in made]})
-
-    rows = docs.select("doc_id", features(F.coalesce("text", F.lit(""))).alias("f")).select("doc_id", "f.fp", "f.sketch")
+    def features(schema: str):
+        @F.pandas_udf(schema)
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            release()
+            seen: dict[str, int] = {}
+            for batch in batches:
+                made = [near_features(t, seen) for t in batch]
+                out = pd.DataFrame({"fp": np.array([m[0] for m in made], np.uint64).view(np.int64), "sketch": [m[1] for m in made]})
+                if "shingles" in schema:
+                    out["shingles"] = [np.unique(m[2]).astype("<u8").tobytes() for m in made]
+                yield out
+
+        return run(F.coalesce("text", F.lit(""))).alias("f")
+
+    rows = docs.select("doc_id", features("fp long, sketch binary")).select("doc_id", "f.fp", "f.sketch")
     rows = store(rows.select("doc_id", "fp", "sketch", F.xxhash64("fp", "sketch").alias("id")), "features")
     distinct = store(rows.groupBy("id").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("low")), "classes")
     n = distinct.count()
@@ -384,8 +472,14 @@ def near_groups(docs: DataFrame, similar: float = SIMILAR, limit: int = REACH, n
                 yield pd.DataFrame({"node": node + (k << 48), "code": code.view(np.int64), "id": batch["id"], "sketch": batch["sketch"]})
 
     routed = distinct.select("fp", "id", "sketch").mapInPandas(turn, "node long, code long, id long, sketch binary")
-    found = routed.groupBy("node").applyInPandas(_similar(limit, similar), "u long, v long")
-    roots = store(components(found), "roots").withColumnRenamed("id", "rid")
+    found = store(routed.groupBy("node").applyInPandas(_similar(limit, similar), "u long, v long, node long"), "found")
+    waiting = found.filter("node IS NOT NULL")
+    needed = waiting.select(F.col("u").alias("id")).distinct().join(distinct, "id").select("id", "low")
+    texts = docs.select("doc_id", "text").join(needed, F.col("doc_id").eqNullSafe(F.col("low")), "left_semi")
+    sets = texts.select(features("fp long, sketch binary, shingles binary")).select("f.*").withColumn("u", F.xxhash64("fp", "sketch"))
+    sets = sets.groupBy("u").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("shingles").alias("shingles"))
+    settled = waiting.join(sets, "u").groupBy("node").applyInPandas(_exact(limit, similar), "u long, v long")
+    roots = store(components(found.filter("node IS NULL").select("u", "v").unionByName(settled)), "roots").withColumnRenamed("id", "rid")
     named = distinct.select("id", "low").join(roots, F.col("id") == F.col("rid"), "left").select("id", "low", F.coalesce("root", "id").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     labels = named.select("id", "root").join(lowest, "root").select("id", "component_id")

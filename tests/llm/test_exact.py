@@ -161,6 +161,27 @@ def test_near_groups_join_near_copies_alone(spark):
     assert got == want
 
 
+def test_near_groups_at_the_threshold_against_brute_force(spark):
+    dice = random.Random(11)
+    word = lambda: "".join(dice.choice("abcdefghij") for _ in range(7))
+    texts = []
+    for _ in range(40):
+        base = [word() for _ in range(dice.choice([60, 150, 400]))]
+        texts.append(base)
+        for share in (0.012, 0.018, 0.022, 0.03):
+            copy = list(base)
+            for i in dice.sample(range(len(base)), round(len(base) * share)):
+                copy[i] = word()
+            texts.append(copy)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    prints = [simhash.near_features(t, {})[0] for _, t in rows]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    near = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= simhash.REACH and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want = joined(list(range(len(rows))), near)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == [int(w) for w in want]
+
+
 def brute_strip(texts):
     seen, out = {}, []
     for d, x in enumerate(texts):
