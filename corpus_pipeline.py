@@ -24,14 +24,14 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by five-word shingle similarity of 0.8 or more, the one of smallest doc_id stays."""
-    docs = docs.select(*COLUMNS)
-    ids = docs.agg(F.count("*"), F.count_distinct("doc_id"), F.count("doc_id")).first()
-    if len(set(ids)) > 1:  # rows that repeat under one doc_id
-        docs = store(docs.dropDuplicates(["doc_id", "text"]), "distinct")
-    groups = simhash.near_groups(docs)
-    gone = groups.filter("doc_id != component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti").select(*COLUMNS)
+    """Of documents joined by five-word shingle similarity of 0.8 or more, the one of smallest doc_id stays.
+
+    Every row is judged by itself, whatever its doc_id: a null one comes after all
+    others, and of rows with the same one the first read stays.
+    """
+    docs = store(docs.select(*COLUMNS).withColumn("uid", F.monotonically_increasing_id()), "rows")
+    kept = simhash.near_rows(docs, "uid").filter("uid = keep").select("uid")
+    return docs.join(kept, "uid", "left_semi").select(*COLUMNS)
 
 
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

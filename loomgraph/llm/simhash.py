@@ -27,7 +27,7 @@ rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -286,6 +286,11 @@ BINS = 256
 REACH = 7
 RECALL = 0.99
 NODE_ROWS = 2048
+#: A pair must share so many shingles of its prefixes; what of a sample says which shingles are common, so that they stand last in them.
+SHARED = 4
+SAMPLE = 10_000
+COMMON = 1 << 17
+BUCKET = 200_000
 
 
 def near_features(text: str, seen: dict[str, int]) -> tuple[int, bytes, np.ndarray]:
@@ -320,6 +325,77 @@ def near_features(text: str, seen: dict[str, int]) -> tuple[int, bytes, np.ndarr
     return fp, sketch.tobytes(), mixed
 
 
+def prefix(shingles: np.ndarray, common: np.ndarray, place: np.ndarray, similar: float = SIMILAR, least: int = SHARED) -> np.ndarray:
+    """The shingles of a set, rarest first, that a set as similar as ``similar`` must share ``least`` of with its own.
+
+    The order (place among the common ones, then hash) is the same for all sets;
+    whether ``common`` is well chosen changes the work, not the result. A set of
+    fewer than ``least`` shingles is similar only to its equals.
+    """
+    n = len(shingles)
+    if n < least:
+        return np.zeros(0, np.uint64)
+    rank = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        rank = np.where(common[at] == shingles, place[at] + 1, 0)
+    return shingles[np.lexsort((shingles, rank))[: n - int(np.ceil(similar * n - 1e-9)) + least]]
+
+
+def _meet(similar: float):
+    """Pairs of different roots that share shingles in a bucket: (u, v, how many)."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["token", "root"], kind="stable")
+        token, ids, root, size = (group[c].to_numpy() for c in ("token", "id", "root", "size"))
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        ends = np.append(starts[1:], len(token))
+        mixed = root[starts] != root[ends - 1]
+        parts, waiting = [], [np.zeros((0, 3), np.int64)]
+
+        def add(pairs: np.ndarray) -> None:
+            """Sum up equal pairs, so that memory holds distinct ones."""
+            waiting.append(pairs)
+            if sum(map(len, waiting)) > 1_000_000:
+                parts[:] = [total(parts + waiting)]
+                waiting.clear()
+
+        def total(rows: list[np.ndarray]) -> np.ndarray:
+            all_ = np.concatenate(rows)
+            if not len(all_):
+                return all_
+            order = np.lexsort((all_[:, 1], all_[:, 0]))
+            all_ = all_[order]
+            new = np.flatnonzero(np.concatenate([[True], (all_[1:, :2] != all_[:-1, :2]).any(axis=1)]))
+            return np.column_stack([all_[new, :2], np.add.reduceat(all_[:, 2], new)])
+
+        for start, end in zip(starts[mixed].tolist(), ends[mixed].tolist()):
+            step = max(1, 1_000_000 // (end - start))
+            for at in range(start, end, step):
+                a = np.arange(at, min(at + step, end))
+                x, y = np.repeat(a, end - start), np.tile(np.arange(start, end), len(a))
+                fit = (root[x] != root[y]) & (ids[x] < ids[y]) & (np.minimum(size[x], size[y]) >= similar * np.maximum(size[x], size[y]) - 1e-9)
+                if fit.any():
+                    add(np.column_stack([ids[x[fit]], ids[y[fit]], np.ones(int(fit.sum()), np.int64)]))
+        made = total(parts + waiting)
+        return pd.DataFrame({"u": made[:, 0], "v": made[:, 1], "n": made[:, 2]})
+
+    return run
+
+
+def _verified(similar: float):
+    @F.pandas_udf("boolean")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b):
+            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both >= similar * (len(x) + len(y) - both))
+        return pd.Series(out, dtype=bool)
+
+    return run
+
+
 def _compare(a: np.ndarray, b: np.ndarray, similar: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of sketches to (estimated similarity, surely similar, to be settled on the shingles).
 
@@ -427,37 +503,75 @@ def _exact(limit: int, similar: float):
 
 
 def near_groups(docs: DataFrame, similar: float = SIMILAR, limit: int = REACH, node_rows: int = NODE_ROWS) -> DataFrame:
-    """doc_id and component_id (the smallest doc_id joined to it) by shingle similarity, one row per input row.
-
-    Fingerprints are put into several Gray orders, each of another permutation
-    of the bits, and searched within upper nodes of about ``node_rows``. With p
-    bits shared in a node, a pair ``limit`` bits apart meets in one order with
-    probability (1 - limit/64)^p; the number of orders follows from p so that it
-    meets in one of them with probability ``RECALL``. Pairs are kept where the
-    shingles' similarity is ``similar`` or more: by their sketches where these
-    put it clearly to one side, else by the shingles themselves, which are sent
-    only for documents in an open pair, once a node. Equal fingerprints with
-    equal sketches are one entry throughout.
+    """doc_id and component_id (the smallest doc_id joined to it) by what the Gray index alone finds, pairs at most ``limit`` bits apart; one row per input row.
+
+    ``near_rows`` does the whole job.
+    """
+    rows = store(docs.select("doc_id", "text").withColumn("uid", F.monotonically_increasing_id()), "rows")
+    return near_rows(rows, "uid", similar, limit, node_rows, rest=False).select("doc_id", "component_id")
+
+
+def near_rows(docs: DataFrame, key: str, similar: float = SIMILAR, limit: int = REACH, node_rows: int = NODE_ROWS, rest: bool = True) -> DataFrame:
+    """``key``, doc_id, component_id and ``keep`` for every row: the smallest doc_id joined to the row, and the key of the row that has it.
+
+    ``key`` is a stored long of its own for every row. A null doc_id comes after
+    all others; among equal ones the row of smallest key is kept.
+
+    First the Gray index: fingerprints are put into several Gray orders, each of
+    another permutation of the bits, and searched within upper nodes of about
+    ``node_rows``. With p bits shared in a node, a pair ``limit`` bits apart meets
+    in one order with probability (1 - limit/64)^p; the number of orders follows
+    from p so that it meets in one of them with probability ``RECALL``. Pairs are
+    kept where the shingles' similarity is ``similar`` or more: by their sketches
+    where these put it clearly to one side, else by the shingles themselves, which
+    are sent only for documents in an open pair, once a node.
+
+    Then, with ``rest``, all pairs the index did not join, however far apart their fingerprints:
+    sets of similarity ``similar`` share ``SHARED`` shingles of their prefixes.
+    Prefixes are met by shingle in buckets, pairs of one component are passed
+    over, and the rest is compared by the shingles. Rows of one fingerprint,
+    sketch and shingle set are one entry throughout.
     """
     spark = docs.sparkSession
+    schema = "fp long, sketch binary, digest long, size long, prefix array<long>"
+    every = max(1, docs.count() // SAMPLE)
+
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
+        for batch in batches:
+            made = [np.unique(near_features(t, {})[2]) for t in batch["text"]]
+            yield pd.DataFrame({"token": np.concatenate([*made, np.zeros(0, np.uint64)]).view(np.int64)})
+
+    text = F.coalesce("text", F.lit("")).alias("text")
+    sample = docs.filter(F.pmod(F.xxhash64(key), F.lit(every)) == 0).select(text).mapInPandas(shingles, "token long")
+    often = sample.groupBy("token").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "token").limit(COMMON)
+    found = np.array([tuple(r) for r in often.collect()], np.int64).reshape(-1, 2)
+    found = found[np.argsort(found[:, 0].copy().view(np.uint64))]
+    common = spark.sparkContext.broadcast((found[:, 0].copy().view(np.uint64), found[:, 1].copy()))
+
+    @F.pandas_udf(schema)
+    def features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        release()
+        seen: dict[str, int] = {}
+        for batch in batches:
+            made = [near_features(t, seen) for t in batch]
+            sets = [np.unique(m[2]) for m in made]
+            digest = np.array([xxhash.xxh64_intdigest(x.astype("<u8").tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+            heads = [prefix(x, *common.value, similar).view(np.int64) for x in sets]
+            yield pd.DataFrame({"fp": np.array([m[0] for m in made], np.uint64).view(np.int64), "sketch": [m[1] for m in made], "digest": digest, "size": [len(x) for x in sets], "prefix": heads})
+
+    @F.pandas_udf("binary")
+    def whole(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release()
+        seen: dict[str, int] = {}
+        for batch in batches:
+            yield pd.Series([np.unique(near_features(t, seen)[2]).astype("<u8").tobytes() for t in batch])
 
-    def features(schema: str):
-        @F.pandas_udf(schema)
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            release()
-            seen: dict[str, int] = {}
-            for batch in batches:
-                made = [near_features(t, seen) for t in batch]
-                out = pd.DataFrame({"fp": np.array([m[0] for m in made], np.uint64).view(np.int64), "sketch": [m[1] for m in made]})
-                if "shingles" in schema:
-                    out["shingles"] = [np.unique(m[2]).astype("<u8").tobytes() for m in made]
-                yield out
-
-        return run(F.coalesce("text", F.lit(""))).alias("f")
-
-    rows = docs.select("doc_id", features("fp long, sketch binary")).select("doc_id", "f.fp", "f.sketch")
-    rows = store(rows.select("doc_id", "fp", "sketch", F.xxhash64("fp", "sketch").alias("id")), "features")
-    distinct = store(rows.groupBy("id").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("low")), "classes")
+    rows = docs.select(key, "doc_id", features(text).alias("f")).select(key, "doc_id", "f.*")
+    rows = store(rows.withColumn("id", F.xxhash64("fp", "sketch", "digest")), "features")
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("at"))).alias("low")
+    classes = rows.groupBy("id").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), low)
+    distinct = store(classes, "classes")
     n = distinct.count()
     shared = max(1, int(np.ceil(np.log2(max(2, n / node_rows)))))
     orders = max(2, int(np.ceil(np.log(1 - RECALL) / np.log(1 - (1 - limit / 64) ** shared)))) if n > node_rows else 1
@@ -471,16 +585,51 @@ def near_groups(docs: DataFrame, similar: float = SIMILAR, limit: int = REACH, n
                 node = (gray_rank(code) >> np.uint64(64 - shared)).astype(np.int64) if orders > 1 else np.zeros(len(code), np.int64)
                 yield pd.DataFrame({"node": node + (k << 48), "code": code.view(np.int64), "id": batch["id"], "sketch": batch["sketch"]})
 
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """u and its shingles, from the text of one row of each id."""
+        needed = ids.join(distinct, "id").select("id", F.col("low.at").alias("at"))
+        return docs.select(key, text).join(needed, F.col(key) == F.col("at")).select(F.col("id").alias("u"), whole("text").alias("shingles"))
+
     routed = distinct.select("fp", "id", "sketch").mapInPandas(turn, "node long, code long, id long, sketch binary")
     found = store(routed.groupBy("node").applyInPandas(_similar(limit, similar), "u long, v long, node long"), "found")
     waiting = found.filter("node IS NOT NULL")
-    needed = waiting.select(F.col("u").alias("id")).distinct().join(distinct, "id").select("id", "low")
-    texts = docs.select("doc_id", "text").join(needed, F.col("doc_id").eqNullSafe(F.col("low")), "left_semi")
-    sets = texts.select(features("fp long, sketch binary, shingles binary")).select("f.*").withColumn("u", F.xxhash64("fp", "sketch"))
-    sets = sets.groupBy("u").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("shingles").alias("shingles"))
+    sets = sets_of(waiting.select(F.col("u").alias("id")).distinct()).join(distinct.select(F.col("id").alias("u"), "fp", "sketch"), "u")
     settled = waiting.join(sets, "u").groupBy("node").applyInPandas(_exact(limit, similar), "u long, v long")
-    roots = store(components(found.filter("node IS NULL").select("u", "v").unionByName(settled)), "roots").withColumnRenamed("id", "rid")
-    named = distinct.select("id", "low").join(roots, F.col("id") == F.col("rid"), "left").select("id", "low", F.coalesce("root", "id").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    labels = named.select("id", "root").join(lowest, "root").select("id", "component_id")
-    return rows.select("doc_id", "id").join(labels, "id").select("doc_id", "component_id")
+    near = store(found.filter("node IS NULL").select("u", "v").unionByName(settled), "near")
+    roots = store(components(near), "roots").withColumnRenamed("id", "rid")
+    if rest:
+        roots = _rest(distinct, roots, sets_of, similar)
+    labels = distinct.select("id", "low").join(roots, F.col("id") == F.col("rid"), "left").select("id", "low", F.coalesce("root", "id").alias("root"))
+    lowest = labels.groupBy("root").agg(F.min("low").alias("low"))
+    labels = labels.select("id", "root").join(lowest, "root").select("id", F.col("low.doc_id").alias("component_id"), F.col("low.at").alias("keep"))
+    return rows.select(key, "doc_id", "id").join(labels, "id").select(key, "doc_id", "component_id", "keep")
+
+
+def _rest(distinct: DataFrame, roots: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similar: float) -> DataFrame:
+    """(rid, root) of all pairs that are similar, from the roots that the index found."""
+    amount = distinct.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    buckets = max(1, int(amount) // BUCKET)
+    rooted = distinct.join(roots, F.col("id") == F.col("rid"), "left").select("id", "size", "prefix", F.coalesce("root", "id").alias("root"))
+    tokens = rooted.select("id", "root", "size", F.explode("prefix").alias("token")).withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)))
+    met = tokens.groupBy("bucket").applyInPandas(_meet(similar), "u long, v long, n long")
+    pairs = store(met.groupBy("u", "v").agg(F.sum("n").alias("n")).filter(F.col("n") >= SHARED), "pairs")
+    proof = store(sets_of(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()), "sets")
+
+    def apart() -> DataFrame:
+        """Pairs whose ends are in different components."""
+        side = lambda u, r: roots.select(F.col("rid").alias(u), F.col("root").alias(r))
+        both = pairs.join(side("u", "ru"), "u", "left").join(side("v", "rv"), "v", "left")
+        return both.withColumn("ru", F.coalesce("ru", "u")).withColumn("rv", F.coalesce("rv", "v")).filter("ru != rv")
+
+    def join_similar(asked: DataFrame, name: str) -> DataFrame:
+        """The roots after the similar ones of these pairs are joined."""
+        asked = asked.join(proof.withColumnRenamed("shingles", "a"), "u").join(proof.select(F.col("u").alias("v"), F.col("shingles").alias("b")), "v")
+        new = store(asked.filter(_verified(similar)("a", "b")).select("u", "v"), name)
+        if new.isEmpty():
+            return roots
+        return store(components(roots.select(F.col("rid").alias("u"), F.col("root").alias("v")).unionByName(new)), "roots").withColumnRenamed("id", "rid")
+
+    # the pair of two components that shares most goes first; what it joins need not be compared any more
+    most = apart().groupBy(F.least("ru", "rv").alias("x"), F.greatest("ru", "rv").alias("y")).agg(F.max(F.struct("n", "u", "v")).alias("p"))
+    roots = join_similar(most.select("p.u", "p.v"), "first")
+    return join_similar(apart().select("u", "v"), "last")

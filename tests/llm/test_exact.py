@@ -182,6 +182,31 @@ def test_near_groups_at_the_threshold_against_brute_force(spark):
     assert [got[i] for i in range(len(rows))] == [int(w) for w in want]
 
 
+def test_near_groups_of_appended_truncated_and_short_copies_by_similarity_alone(spark):
+    dice = random.Random(5)
+    word = lambda: "".join(dice.choice("abcdefghij") for _ in range(dice.randint(2, 9)))
+    texts = []
+    for _ in range(25):
+        base = [word() for _ in range(dice.choice([60, 150, 400]))]
+        n = len(base)
+        short = list(base)
+        for i in dice.sample(range(n), 2):
+            short[i] = word()
+        texts += [base, base + [word() for _ in range(n // 5)], base[: n - n * 15 // 100], base + [word() for _ in range(n // 10)], short]
+    texts += [["four", "words", "and", c] for c in "xyz"] + [["a", "b", "c"]] * 2
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    prints = [simhash.near_features(t, {})[0] for _, t in rows]
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want = joined(list(range(len(rows))), near)
+    far = [(a, b) for a in range(len(rows)) for b in range(a) if near(a, b) and (prints[a] ^ prints[b]).bit_count() > simhash.REACH]
+    assert len(far) > 25
+    for node_rows in (8, simhash.NODE_ROWS):
+        docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "uid long, doc_id long, text string")
+        got = {r["doc_id"]: (r["component_id"], r["keep"]) for r in simhash.near_rows(docs, "uid", node_rows=node_rows).collect()}
+        assert [got[i] for i in range(len(rows))] == [(int(w), int(w)) for w in want]
+
+
 def brute_strip(texts):
     seen, out = {}, []
     for d, x in enumerate(texts):
