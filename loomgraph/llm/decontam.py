@@ -14,9 +14,14 @@ exchanged still matches, one whose values do not correspond does not. Windows in
 one alignment of document and item must also agree with each other; where they
 do not, only windows without placeholders count.
 
-Benchmark windows are made distinct by template before the join, and the lowest
-item stands for all that hold it: a phrase that many items share does not
-multiply a document's rows.
+Items whose whole texts have one template are a class: whether a document's values
+agree with one of them is the same for all, so the lowest item stands for the class
+in the join, and the list of items is put in after matching. Items that only share
+a passage are of different classes and are judged each by its own values.
+
+``n_windows`` counts windows of the document, each once, however many items hold it.
+``reparameterised`` is true where the values found differ from those of any item in
+``items``.
 
 Defined results: one row per input row, repeated ones too; null and empty texts
 and null benchmark texts match nothing; an empty benchmark marks nothing; an
@@ -110,14 +115,14 @@ def window_hashes(codes: np.ndarray, slot: np.ndarray, width: int, literals: int
 
 
 def describe(tokens: list[str], slot: np.ndarray, codes: np.ndarray, at: int, width: int) -> tuple[str, list[str]]:
-    """A window's template with numbered placeholders, and the placeholders' values in order."""
+    """A window's template with numbered placeholders, and the placeholders' kinds and values in order."""
     out, values, number = [], [], {}
     kinds = {v >> 3: k for k, v in _KINDS.items()}
     for i in range(at, at + width):
         core = tokens[i].strip(_EDGES).lower()
         if slot[i]:
             kind = kinds[int(codes[i])]
-            values.append(core)
+            values.append(f"{kind} {core}")
             out.append(f"<{kind}{number.setdefault((kind, core), len(number))}>")
         else:
             out.append(core or tokens[i])
@@ -125,7 +130,7 @@ def describe(tokens: list[str], slot: np.ndarray, codes: np.ndarray, at: int, wi
 
 
 def benchmark_windows(benchmark: DataFrame, width: int = WINDOW, literals: int = LITERALS) -> DataFrame:
-    """item_id, pos, h, width, template, slots; one row for each distinct template."""
+    """item_id, class, variant, ipos, h, width, template, islots; one row for each window of each item. A variant is one text of a class."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         templates = Templates()
@@ -137,18 +142,24 @@ def benchmark_windows(benchmark: DataFrame, width: int = WINDOW, literals: int =
                 if w < literals:
                     continue
                 codes, slot = templates(tokens)
+                whole, values = describe(tokens, slot, codes, 0, len(tokens))
+                kind, variant = (xxhash.xxh128_hexdigest(x.encode("utf-8", "replace")) for x in (whole, "\n".join(values)))
                 for at, h in zip(*window_hashes(codes, slot, w, literals)):
-                    rows.append((item, int(at), int(h.view(np.int64)), w, *describe(tokens, slot, codes, int(at), w)))
-            yield pd.DataFrame(rows, columns=["item_id", "ipos", "h", "width", "template", "islots"])
+                    rows.append((item, kind, variant, int(at), int(h.view(np.int64)), w, *describe(tokens, slot, codes, int(at), w)))
+            yield pd.DataFrame(rows, columns=["item_id", "class", "variant", "ipos", "h", "width", "template", "islots"])
 
     rows = benchmark.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    made = rows.mapInPandas(run, "item_id long, ipos int, h long, width int, template string, islots array<string>")
-    best = made.groupBy("h", "template").agg(F.min(F.struct("item_id", "ipos", "width", "islots")).alias("b"))
-    return best.select("h", "template", "b.*")
+    return rows.mapInPandas(run, "item_id long, class string, variant string, ipos int, h long, width int, template string, islots array<string>")
+
+
+def class_windows(made: DataFrame) -> DataFrame:
+    """class, h, template, ipos, width, islots of its lowest item, and whether its items differ in ``islots``."""
+    best = made.groupBy("class", "h", "template", "ipos", "width").agg(F.min(F.struct("item_id", "variant", "islots")).alias("b"), (F.min("islots") != F.max("islots")).alias("mixed"))
+    return best.select("class", "h", "template", "ipos", "width", "b.islots", "mixed")
 
 
-def hits(docs: DataFrame, windows: DataFrame, width: int = WINDOW, literals: int = LITERALS) -> DataFrame:
-    """``HITS``: the windows of documents that pass the bitmap, and for every document one row whose pos is null."""
+def hits(docs: DataFrame, windows: DataFrame, width: int = WINDOW, literals: int = LITERALS, key: str | None = None) -> DataFrame:
+    """``HITS``: the windows of documents that pass the bitmap, and for every document one row whose pos is null; uid is ``key`` or a number of its own."""
     spark = docs.sparkSession
     low = F.col("h").bitwiseAND(F.lit((1 << BITS) - 1))
     words = windows.select(F.shiftright(low, 5).alias("word"), F.expr(f"shiftleft(1L, cast(h & 31L as int))").alias("bit"))
@@ -166,7 +177,8 @@ def hits(docs: DataFrame, windows: DataFrame, width: int = WINDOW, literals: int
         uid, templates = TaskContext.get().partitionId() << 33, Templates()
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
+            for own, doc, text in zip(batch["own"], batch["doc_id"], batch["text"]):
+                uid = own if key else uid
                 rows.append((uid, doc, None, None, None, None))
                 tokens = text.split()
                 codes, slot = templates(tokens)
@@ -180,30 +192,37 @@ def hits(docs: DataFrame, windows: DataFrame, width: int = WINDOW, literals: int
             uids, ids, at, h, template, slots = zip(*rows) if rows else ((),) * 6
             yield pd.DataFrame({"uid": uids, "doc_id": ids, "pos": pd.array(at, dtype="Int32"), "h": pd.array(h, dtype="Int64"), "template": template, "slots": slots})
 
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, HITS)
+    own = (F.col(key) if key else F.lit(0)).cast("long").alias("own")
+    return docs.select(own, F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, HITS)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, literals: int = LITERALS) -> DataFrame:
-    """doc_id, contaminated, n_windows, n_items, reparameterised, items; one row per input row."""
-    windows = store(benchmark_windows(benchmark, width, literals), "templates")
-    found = store(hits(docs, windows, width, literals), "hits")
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, literals: int = LITERALS, key: str | None = None) -> DataFrame:
+    """doc_id, contaminated, n_windows, n_items, reparameterised, items; one row per input row, with ``key`` first if it names a long of each row's own."""
+    made = store(benchmark_windows(benchmark, width, literals), "templates")
+    classes = made.groupBy("class").agg(F.collect_set("item_id").alias("members"))
+    windows = store(class_windows(made), "windows")
+    found = store(hits(docs, windows, width, literals, key), "hits")
     every = found.filter("pos IS NULL").select("uid", "doc_id")
     joined = found.filter("pos IS NOT NULL").join(windows, ["h", "template"])
-    lined = joined.groupBy("uid", "item_id", (F.col("pos") - F.col("ipos")).alias("offset")).agg(
-        F.count("*").alias("windows"),
-        F.count(F.when(F.size("slots") == 0, 1)).alias("plain"),
+    place = F.struct("pos", "width")
+    lined = joined.groupBy("uid", "class", (F.col("pos") - F.col("ipos")).alias("offset")).agg(
+        F.collect_set(place).alias("windows"),
+        F.collect_set(F.when(F.size("slots") == 0, place)).alias("plain"),
         F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("islots", "slots")))).alias("pairs"),
+        F.max("mixed").alias("mixed"),
     )
     several = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
     agree = (several("islots") == F.size("pairs")) & (several("slots") == F.size("pairs"))
-    counted = lined.withColumn("windows", F.when(agree, F.col("windows")).otherwise(F.col("plain"))).filter("windows > 0")
-    changed = agree & F.exists("pairs", lambda p: p["islots"] != p["slots"])
-    marks = counted.groupBy("uid").agg(F.sum("windows").alias("n_windows"), F.sort_array(F.collect_set("item_id")).alias("items"), F.max(changed).alias("reparameterised"))
+    changed = agree & (F.col("mixed") | F.exists("pairs", lambda p: p["islots"] != p["slots"]))
+    counted = lined.select("uid", "class", F.when(agree, F.col("windows")).otherwise(F.col("plain")).alias("windows"), changed.alias("changed")).filter(F.size("windows") > 0)
+    union = lambda column: F.array_distinct(F.flatten(F.collect_list(column)))
+    marks = counted.join(classes, "class").groupBy("uid").agg(F.size(union("windows")).cast("long").alias("n_windows"), F.sort_array(union("members")).alias("items"), F.max("changed").alias("reparameterised"))
     out = every.join(marks, "uid", "left")
     return out.select(
+        *([F.col("uid").alias(key)] if key else []),
         F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"),
         F.col("n_windows").isNotNull().alias("contaminated"),
-        F.coalesce("n_windows", F.lit(0)).alias("n_windows"),
+        F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("reparameterised", F.lit(False)).alias("reparameterised"),
         F.coalesce("items", F.array().cast("array<bigint>")).alias("items"),

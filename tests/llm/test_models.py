@@ -61,6 +61,17 @@ def test_templates(spark):
     assert decontam.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_items_of_one_template(spark):
+    text = "Add {} red hats and {} blue caps and {} green belts and {} brown shoes"
+    values = {1: (3, 5, 7, 3), 2: (3, 5, 7, 9), 3: (3, 5, 7, 9), 4: (2, 4, 6, 8)}
+    bench = spark.createDataFrame([(i, text.format(*v)) for i, v in values.items()], "item_id long, text string")
+    docs = spark.createDataFrame([(i, text.format(*v)) for i, v in enumerate([(3, 5, 7, 3), (3, 5, 7, 9), (1, 2, 3, 4), (1, 2, 2, 4)])], "doc_id long, text string")
+    got = {r["doc_id"]: (r["items"], r["n_items"], r["reparameterised"]) for r in decontam.contaminated(docs, bench).collect()}
+    assert got == {0: ([1], 1, False), 1: ([2, 3, 4], 3, True), 2: ([2, 3, 4], 3, True), 3: ([], 0, False)}
+    same = decontam.contaminated(docs, bench.filter("item_id IN (2, 3)")).filter("doc_id = 1").first()
+    assert same["items"] == [2, 3] and not same["reparameterised"] and same["n_windows"] == 9
+
+
 def test_verbatim_passages(spark):
     docs, bench = (spark.read.parquet(f"{DIR}/{x}.parquet") for x in ("documents", "benchmark"))
     items = [r["text"] for r in bench.collect()]
