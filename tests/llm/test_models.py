@@ -79,6 +79,19 @@ def test_verbatim_passages(spark):
     assert {r["doc_id"] for r in decontam.contaminated(docs, bench).filter("contaminated").collect()} == want
 
 
+def test_stages_judge_rows_of_null_and_repeated_ids_by_themselves(spark):
+    passage = spark.read.parquet(f"{DIR}/benchmark.parquet").first()["text"]
+    near = [" ".join(f"w{i}{c}" if i == k else f"w{i}" for i in range(200)) for k, c in ((0, ""), (50, "x"))]
+    other = [" ".join(f"{c}{i}" for i in range(50)) for c in "abcd"]
+    ids = {None: [*near, other[0], passage, other[0]], 5: [near[1], other[1], passage], 6: [other[2], other[3]]}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, ts in ids.items() for t in ts], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = lambda df: sorted(((r["doc_id"] or 0, r["text"]) for r in df.collect()))
+    assert rows(corpus_pipeline._near_dedup(spark, docs, DIR)) == sorted([(0, other[0]), (5, near[1]), (5, other[1]), (5, passage), (6, other[2]), (6, other[3])])
+    nulls = docs.filter("doc_id IS NULL")
+    assert sorted(r["text"] for r in corpus_pipeline._near_dedup(spark, nulls, DIR).collect()) in [sorted([x, other[0], passage]) for x in near]
+    assert rows(corpus_pipeline._decontaminate(spark, docs, DIR)) == sorted((i or 0, t) for i, ts in ids.items() for t in ts if t != passage)
+
+
 def test_pipeline(spark):
     docs = queries.table(spark, DIR, "documents")
     columns, kept = docs.columns, {}
