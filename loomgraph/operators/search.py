@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.functions import vector as V
+from loomgraph.shared import store
 
 RRF_K = 60
 
@@ -35,13 +38,32 @@ def knn(vectors: DataFrame, query: list[float], k: int, key: str = "node_id", em
 def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "node_id", embedding: str = "embedding", query_key: str = "query_id", max_queries: int = 20_000) -> DataFrame:
     """The k nearest of each query, with their rank.
 
-    The queries are counted first and refused above ``max_queries``, so the side
-    that is broadcast has a known bound. Each partition keeps k rows a query
-    before anything is shuffled.
+    The side that is broadcast has a known bound: above ``max_queries`` the
+    queries are numbered and taken in blocks of that many, the best k of each
+    block are written, and the best k of all blocks are ranked. Each partition
+    keeps k rows a query before anything is shuffled.
     """
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"more than {max_queries} queries; split them")
-    q = queries.filter(V.l2_norm(F.col(embedding)) > 0).select(F.col(query_key), F.col(embedding).alias("_q"))
+    columns = queries.select(F.col(query_key), F.col(embedding).alias("_q"))
+    if queries.limit(max_queries + 1).count() <= max_queries:
+        return _nearest(vectors, columns, k, key, embedding, query_key)
+    # a stored partition number and place in it, with each partition's start, count without gaps
+    at = store(columns.withColumn("_id", F.monotonically_increasing_id()), "queries").withColumn("_part", F.shiftright("_id", 33))
+    counts = sorted(tuple(r) for r in at.groupBy("_part").agg(F.count("*")).collect())
+    starts = [(part, sum(n for _, n in counts[:i])) for i, (part, _) in enumerate(counts)]
+    number = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_start")
+    block = F.floor(number / max_queries).cast("long").alias("_block")
+    numbered = store(at.join(F.broadcast(at.sparkSession.createDataFrame(starts, "_part long, _start long")), "_part").select(query_key, "_q", block), "numbered")
+    done = []
+    for i in range(-(-sum(n for _, n in counts) // max_queries)):
+        done.append(store(_nearest(vectors, numbered.filter(F.col("_block") == i).drop("_block"), k, key, embedding, query_key).drop("rank"), "nearest"))
+    order = Window.partitionBy(query_key).orderBy("distance", key)
+    whole = reduce(DataFrame.unionByName, done)
+    return whole.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(query_key, key, "distance", "rank")
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str, embedding: str, query_key: str) -> DataFrame:
+    """The k nearest of each of a block of queries (``query_key``, ``_q``), which is broadcast."""
+    q = queries.filter(V.l2_norm(F.col("_q")) > 0)
     scored = vectors.filter(F.size(embedding) > 0).join(F.broadcast(q)).withColumn("distance", V.cosine_distance(F.col(embedding), F.col("_q")))
     slim = scored.select(query_key, key, "distance").withColumn("_p", F.spark_partition_id())
     near = Window.partitionBy(query_key, "_p").orderBy("distance", key)

@@ -16,6 +16,14 @@ def test_knn(spark):
     assert search.knn(v, [0.0, 0.0], 9).count() == 0
 
 
+def test_knn_batch_in_blocks(spark):
+    v = spark.createDataFrame([(i, [float(i % 7) - 3, float(i % 5), 1.0]) for i in range(60)], "node_id long, embedding array<double>").repartition(3)
+    queries = v.filter("node_id % 5 < 2").select((F.col("node_id") % 20).alias("query_id"), "embedding").repartition(3)  # ids that repeat
+    whole = search.knn_batch(v, queries, 4)
+    for size in (1, 5, 24):
+        assert sorted(map(tuple, search.knn_batch(v, queries, 4, max_queries=size).collect())) == sorted(map(tuple, whole.collect()))
+
+
 def test_rrf(spark):
     ranks = lambda ids: spark.createDataFrame([(x, i + 1) for i, x in enumerate(ids)], "node_id string, rank int")
     got = [(r["node_id"], round(r["score"], 9), r["sources"]) for r in search.rrf(ranks("abc"), ranks("bd"), 10).collect()]
