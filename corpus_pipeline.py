@@ -27,18 +27,24 @@ def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents joined by five-word shingle similarity of 0.8 or more, the one of smallest doc_id stays.
 
     Every row is judged by itself, whatever its doc_id: a null one comes after all
-    others, and of rows with the same one the first read stays.
+    others, and of rows with the same one that of the smallest hash stays. A row's
+    key is a hash of doc_id and text, made unique first where ids repeat.
     """
-    docs = store(docs.select(*COLUMNS).withColumn("uid", F.monotonically_increasing_id()), "rows")
-    kept = simhash.near_rows(docs, "uid").filter("uid = keep").select("uid")
-    return docs.join(kept, "uid", "left_semi").select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    ids = docs.agg(F.count("*"), F.count_distinct("doc_id"), F.count("doc_id")).first()
+    if len(set(ids)) > 1:  # rows that repeat under one doc_id
+        docs = store(docs.dropDuplicates(["doc_id", "text"]), "distinct")
+    docs = docs.withColumn("uid", F.xxhash64("doc_id", F.lit("|"), "text"))
+    gone = store(simhash.near_rows(docs, "uid").filter("uid != keep").select("uid"), "gone")
+    return docs.join(gone, "uid", "left_anti").select(*COLUMNS)
 
 
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go; every row is judged by itself, whatever its doc_id."""
-    docs = store(docs.select(*COLUMNS).withColumn("uid", F.monotonically_increasing_id()), "rows")
+    """Documents that hold a benchmark passage go; every row is judged by itself, by a hash of its text, whatever its doc_id."""
+    docs = docs.select(*COLUMNS).withColumn("uid", F.xxhash64(F.coalesce("text", F.lit(""))))
     marks = decontam.contaminated(docs, queries.table(spark, sf_dir, "benchmark"), key="uid")
-    return docs.join(marks.filter("contaminated").select("uid"), "uid", "left_anti").select(*COLUMNS)
+    bad = store(marks.filter("contaminated").select("uid").distinct(), "bad")
+    return docs.join(bad, "uid", "left_anti").select(*COLUMNS)
 
 
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -197,7 +197,7 @@ def hits(docs: DataFrame, windows: DataFrame, width: int = WINDOW, literals: int
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, literals: int = LITERALS, key: str | None = None) -> DataFrame:
-    """doc_id, contaminated, n_windows, n_items, reparameterised, items; one row per input row, with ``key`` first if it names a long of each row's own."""
+    """doc_id, contaminated, n_windows, n_items, reparameterised, items; one row per input row, with ``key`` first if it names a long that rows of different texts do not share."""
     made = store(benchmark_windows(benchmark, width, literals), "templates")
     classes = made.groupBy("class").agg(F.collect_set("item_id").alias("members"))
     windows = store(class_windows(made), "windows")

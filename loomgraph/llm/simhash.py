@@ -514,7 +514,7 @@ def near_groups(docs: DataFrame, similar: float = SIMILAR, limit: int = REACH, n
 def near_rows(docs: DataFrame, key: str, similar: float = SIMILAR, limit: int = REACH, node_rows: int = NODE_ROWS, rest: bool = True) -> DataFrame:
     """``key``, doc_id, component_id and ``keep`` for every row: the smallest doc_id joined to the row, and the key of the row that has it.
 
-    ``key`` is a stored long of its own for every row. A null doc_id comes after
+    ``key`` is a long of its own for every row, the same whenever it is read. A null doc_id comes after
     all others; among equal ones the row of smallest key is kept.
 
     First the Gray index: fingerprints are put into several Gray orders, each of
@@ -587,7 +587,7 @@ def near_rows(docs: DataFrame, key: str, similar: float = SIMILAR, limit: int =
 
     def sets_of(ids: DataFrame) -> DataFrame:
         """u and its shingles, from the text of one row of each id."""
-        needed = ids.join(distinct, "id").select("id", F.col("low.at").alias("at"))
+        needed = store(ids.join(distinct, "id").select("id", F.col("low.at").alias("at")), "needed")
         return docs.select(key, text).join(needed, F.col(key) == F.col("at")).select(F.col("id").alias("u"), whole("text").alias("shingles"))
 
     routed = distinct.select("fp", "id", "sketch").mapInPandas(turn, "node long, code long, id long, sketch binary")
@@ -602,7 +602,9 @@ def near_rows(docs: DataFrame, key: str, similar: float = SIMILAR, limit: int =
     labels = distinct.select("id", "low").join(roots, F.col("id") == F.col("rid"), "left").select("id", "low", F.coalesce("root", "id").alias("root"))
     lowest = labels.groupBy("root").agg(F.min("low").alias("low"))
     labels = labels.select("id", "root").join(lowest, "root").select("id", F.col("low.doc_id").alias("component_id"), F.col("low.at").alias("keep"))
-    return rows.select(key, "doc_id", "id").join(labels, "id").select(key, "doc_id", "component_id", "keep")
+    out = store(rows.select(key, "doc_id", "id").join(labels, "id").select(key, "doc_id", "component_id", "keep"), "groups")
+    drop(rows, distinct, found, near)
+    return out
 
 
 def _rest(distinct: DataFrame, roots: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similar: float) -> DataFrame:
@@ -632,4 +634,6 @@ def _rest(distinct: DataFrame, roots: DataFrame, sets_of: Callable[[DataFrame],
     # the pair of two components that shares most goes first; what it joins need not be compared any more
     most = apart().groupBy(F.least("ru", "rv").alias("x"), F.greatest("ru", "rv").alias("y")).agg(F.max(F.struct("n", "u", "v")).alias("p"))
     roots = join_similar(most.select("p.u", "p.v"), "first")
-    return join_similar(apart().select("u", "v"), "last")
+    roots = join_similar(apart().select("u", "v"), "last")
+    drop(pairs, proof)
+    return roots
