@@ -7,7 +7,12 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A sieve has 16 bits a key, at most so many in all: 2^28 bits are 32 MB, in rows of 4 KB.
+SIEVE_BITS = 1 << 28
+_SLOT = 1 << 15  # bits in one bitmap of bitmap_construct_agg
 
 _written: list[str] = []
 
@@ -59,3 +64,24 @@ def drop(*tables: DataFrame) -> None:
         if path in _written:
             _delete(table.sparkSession, path)
             _written.remove(path)
+
+
+def sieve(df: DataFrame, hashed: Column, keys: DataFrame) -> DataFrame:
+    """``df`` with ``maybe``: false where no row of ``keys`` has this hash, true else, rarely without cause.
+
+    ``keys`` has one long column, ``hashed`` is a long of the same make, both well
+    mixed. Rows are tested where they are scanned, against broadcast bitmaps whose
+    size follows from the count of keys up to ``SIEVE_BITS``; past some 2^25 keys
+    more rows pass without cause, which costs work and loses nothing.
+    """
+    (name,) = keys.columns
+    n = keys.count()
+    bits = min(SIEVE_BITS, max(_SLOT, 1 << (16 * n - 1).bit_length() if n else _SLOT))
+    place = lambda c: c.bitwiseAND(F.lit(bits - 1))
+    slot, at = lambda c: F.shiftright(c, 15).cast("int"), lambda c: c.bitwiseAND(F.lit(_SLOT - 1))
+    held = keys.select(place(F.col(name)).alias("_place")).select(slot(F.col("_place")).alias("_slot"), at(F.col("_place")).alias("_at"))
+    maps = held.groupBy("_slot").agg(F.bitmap_construct_agg("_at").alias("_map"))
+    out = df.withColumn("_place", place(hashed)).withColumn("_own", slot(F.col("_place"))).join(F.broadcast(maps), F.col("_own") == F.col("_slot"), "left")
+    byte = F.conv(F.hex(F.substring("_map", F.shiftright(at(F.col("_place")), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.getbit(byte, F.col("_place").bitwiseAND(F.lit(7)).cast("int"))
+    return out.withColumn("maybe", F.coalesce(bit == 1, F.lit(False))).drop("_place", "_own", "_slot", "_map")
