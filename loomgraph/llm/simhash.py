@@ -27,16 +27,16 @@ rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.labelled import release
-from loomgraph.shared import drop, store
+from loomgraph.shared import drop, sieve, store
 
 SEED = 42
 LIMIT = 2
@@ -278,51 +278,44 @@ def near_dedup(docs: DataFrame, width: int = 3, limit: int = LIMIT, group_rows:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# Near copies by content: the same index over fingerprints of word sets, checked by shingle sketches.
+# Near copies by content: the same index over fingerprints of five-word shingles, and an exact join for what it leaves.
 
 SHINGLE = 5
 SIMILAR = 0.8
-BINS = 256
-REACH = 7
-RECALL = 0.99
-NODE_ROWS = 2048
-#: A pair must share so many shingles of its prefixes; what of a sample says which shingles are common, so that they stand last in them.
+#: A pair must share so many shingles of its prefixes.
 SHARED = 4
+#: What so many rows of a sample say is common stands last in the prefixes, and at most so many shingles of it are broadcast.
 SAMPLE = 10_000
 COMMON = 1 << 17
-BUCKET = 200_000
+#: Turns in which components are compared with a few members of the largest one at each prefix shingle before all pairs are: one, then ``PIVOTS``.
+TURNS = 2
+PIVOTS = 8
+CACHE = 400_000
 
 
-def near_features(text: str, seen: dict[str, int]) -> tuple[int, bytes, np.ndarray]:
-    """A fingerprint of the set of words, each weighing its length, a one-permutation sketch of the five-word shingles, and their 64-bit hashes.
-
-    A few changed words touch five shingles each but leave the set of words
-    nearly whole, so near copies lie few bits apart. A sketch byte is 0 where no
-    shingle falls in the bin.
-    """
+def shingle_set(text: str, seen: dict[str, int]) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the five-word shingles; of fewer words, of the whole; none without words."""
     words = [w for w in text.translate(_LOWER).split(" ") if w]
-    sketch = np.zeros(BINS, np.uint8)
     if not words:
-        return 0, sketch.tobytes(), np.zeros(0, np.uint64)
-    if len(seen) > 400_000:
+        return np.zeros(0, np.uint64)
+    if len(seen) > CACHE:
         seen.clear()
     hashes = np.array([seen[w] if w in seen else seen.setdefault(w, xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), SEED)) for w in words], np.uint64)
-    distinct, at = np.unique(hashes, return_index=True)
-    weight = np.array([len(words[i]) for i in at.tolist()], np.float32)
-    bits = np.unpackbits(distinct.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = weight @ bits.astype(np.float32)
-    fp = sum(1 << int(b) for b in np.flatnonzero(2 * ones > weight.sum()))
     width = min(SHINGLE, len(words))
-    mixed = np.zeros(len(words) - width + 1, np.uint64)
+    mixed = np.full(len(words) - width + 1, width, np.uint64)
     for i in range(width):
         mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + len(mixed)]
     mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(29)
-    least = np.full(BINS, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    np.minimum.at(least, (mixed & np.uint64(BINS - 1)).astype(np.int64), mixed >> np.uint64(8))
-    used = least != np.uint64(0xFFFFFFFFFFFFFFFF)
-    sketch[used] = (least[used] % np.uint64(255)).astype(np.uint8) + 1
-    return fp, sketch.tobytes(), mixed
+    return np.unique(mixed ^ (mixed >> np.uint64(29)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of a set of 64-bit hashes; an unsigned number, 0 for none."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 8192):
+        part = np.unpackbits(hashes[i : i + 8192].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += part.sum(axis=0, dtype=np.int64)
+    return sum(1 << int(b) for b in np.flatnonzero(2 * ones > len(hashes)))
 
 
 def prefix(shingles: np.ndarray, common: np.ndarray, place: np.ndarray, similar: float = SIMILAR, least: int = SHARED) -> np.ndarray:
@@ -342,298 +335,175 @@ def prefix(shingles: np.ndarray, common: np.ndarray, place: np.ndarray, similar:
     return shingles[np.lexsort((shingles, rank))[: n - int(np.ceil(similar * n - 1e-9)) + least]]
 
 
-def _meet(similar: float):
-    """Pairs of different roots that share shingles in a bucket: (u, v, how many)."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["token", "root"], kind="stable")
-        token, ids, root, size = (group[c].to_numpy() for c in ("token", "id", "root", "size"))
-        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        ends = np.append(starts[1:], len(token))
-        mixed = root[starts] != root[ends - 1]
-        parts, waiting = [], [np.zeros((0, 3), np.int64)]
-
-        def add(pairs: np.ndarray) -> None:
-            """Sum up equal pairs, so that memory holds distinct ones."""
-            waiting.append(pairs)
-            if sum(map(len, waiting)) > 1_000_000:
-                parts[:] = [total(parts + waiting)]
-                waiting.clear()
-
-        def total(rows: list[np.ndarray]) -> np.ndarray:
-            all_ = np.concatenate(rows)
-            if not len(all_):
-                return all_
-            order = np.lexsort((all_[:, 1], all_[:, 0]))
-            all_ = all_[order]
-            new = np.flatnonzero(np.concatenate([[True], (all_[1:, :2] != all_[:-1, :2]).any(axis=1)]))
-            return np.column_stack([all_[new, :2], np.add.reduceat(all_[:, 2], new)])
-
-        for start, end in zip(starts[mixed].tolist(), ends[mixed].tolist()):
-            step = max(1, 1_000_000 // (end - start))
-            for at in range(start, end, step):
-                a = np.arange(at, min(at + step, end))
-                x, y = np.repeat(a, end - start), np.tile(np.arange(start, end), len(a))
-                fit = (root[x] != root[y]) & (ids[x] < ids[y]) & (np.minimum(size[x], size[y]) >= similar * np.maximum(size[x], size[y]) - 1e-9)
-                if fit.any():
-                    add(np.column_stack([ids[x[fit]], ids[y[fit]], np.ones(int(fit.sum()), np.int64)]))
-        made = total(parts + waiting)
-        return pd.DataFrame({"u": made[:, 0], "v": made[:, 1], "n": made[:, 2]})
-
-    return run
-
-
-def _verified(similar: float):
-    @F.pandas_udf("boolean")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(both >= similar * (len(x) + len(y) - both))
-        return pd.Series(out, dtype=bool)
-
-    return run
-
-
-def _compare(a: np.ndarray, b: np.ndarray, similar: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of sketches to (estimated similarity, surely similar, to be settled on the shingles).
-
-    Three standard errors of the estimate lie between what a sketch settles and the threshold.
-    """
-    either = ((a | b) > 0).sum(axis=1)
-    estimate = ((a == b) & (a > 0)).sum(axis=1) / np.maximum(either, 1)
-    margin = np.minimum(3 * np.sqrt(similar * (1 - similar) / np.maximum(either, 1)), 0.3)
-    sure = (estimate >= similar + margin) | (either == 0)
-    return estimate, sure, ~sure & (estimate >= similar - margin)
-
-
-def _roots(ids: np.ndarray, us: list[np.ndarray], vs: list[np.ndarray]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """The root of each id under the links, and the links as a forest."""
-    x, y = forest(np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.int64),) * 2
-    root = ids.copy()
-    if len(x):
-        at = np.searchsorted(x, ids)
-        at[at == len(x)] = 0
-        root = np.where(x[at] == ids, y[at], ids)
-    return root, (x, y)
-
-
-def _similar(limit: int, similar: float):
-    """Links that sketches settle, ``node`` null; then (id, root, node) of the ids in pairs left to be settled."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        codes, ids = group["code"].to_numpy().view(np.uint64), group["id"].to_numpy()
-        sketches = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), BINS)
-        tree = GrayTree(codes)
-        us, vs, open_a, open_b = [], [], [], []
-        waiting = np.zeros(len(ids), bool)
-
-        def settle() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            root, (x, y) = _roots(ids, us, vs)
-            us[:], vs[:] = [x], [y]
-            for a, b in zip(open_a, open_b):
-                apart = root[a] != root[b]
-                waiting[a[apart]] = waiting[b[apart]] = True
-            open_a.clear()
-            open_b.clear()
-            return root, x, y
-
-        for at in range(0, len(codes), 1024):
-            q, p = tree.search(codes[at : at + 1024], limit)
-            q, p = q + at, tree.order[p]
-            q, p = q[ids[q] < ids[p]], p[ids[q] < ids[p]]
-            for i in range(0, len(q), 16384):
-                a, b = q[i : i + 16384], p[i : i + 16384]
-                _, sure, unsettled = _compare(sketches[a], sketches[b], similar)
-                us.append(ids[a[sure]])
-                vs.append(ids[b[sure]])
-                open_a.append(a[unsettled])
-                open_b.append(b[unsettled])
-            if sum(map(len, us)) + sum(map(len, open_a)) > 4_000_000:
-                settle()
-        root, x, y = settle()
-        node = np.full(int(waiting.sum()), group["node"].iloc[0])
-        links = pd.DataFrame({"u": x, "v": y, "node": pd.array([None] * len(x), dtype="Int64")})
-        left = pd.DataFrame({"u": ids[waiting], "v": root[waiting], "node": pd.array(node, dtype="Int64")})
-        return pd.concat([links, left], ignore_index=True)
-
-    return run
-
-
-def _exact(limit: int, similar: float):
-    """Links among the ids that wait in a node, by the similarity of their shingles; a link within a component adds nothing and is passed over."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        ids = group["u"].to_numpy()
-        sketches = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), BINS)
-        sets = [np.frombuffer(x, "<u8") for x in group["shingles"]]
-        prints = group["fp"].to_numpy().view(np.uint64)
-        tree = GrayTree(prints)
-        parent = {r: r for r in group["v"].tolist()}
-        roots = group["v"].tolist()
-
-        def find(r: int) -> int:
-            while parent[r] != r:
-                parent[r] = parent[parent[r]]
-                r = parent[r]
-            return r
-
-        us, vs = [], []
-        for at in range(0, len(ids), 1024):
-            q, p = tree.search(prints[at : at + 1024], limit)
-            q, p = q + at, tree.order[p]
-            q, p = q[ids[q] < ids[p]], p[ids[q] < ids[p]]
-            for i in range(0, len(q), 16384):
-                a, b = q[i : i + 16384], p[i : i + 16384]
-                estimate, _, unsettled = _compare(sketches[a], sketches[b], similar)
-                for k in np.flatnonzero(unsettled)[np.argsort(-estimate[unsettled], kind="stable")].tolist():
-                    x, y = int(a[k]), int(b[k])
-                    rx, ry = find(roots[x]), find(roots[y])
-                    if rx == ry:
-                        continue
-                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                    if both >= similar * (len(sets[x]) + len(sets[y]) - both):
-                        parent[rx] = ry
-                        us.append(ids[x])
-                        vs.append(ids[y])
-        return pd.DataFrame({"u": np.array(us, np.int64), "v": np.array(vs, np.int64)})
-
-    return run
-
-
-def near_groups(docs: DataFrame, similar: float = SIMILAR, limit: int = REACH, node_rows: int = NODE_ROWS) -> DataFrame:
-    """doc_id and component_id (the smallest doc_id joined to it) by what the Gray index alone finds, pairs at most ``limit`` bits apart; one row per input row.
-
-    ``near_rows`` does the whole job.
-    """
-    rows = store(docs.select("doc_id", "text").withColumn("uid", F.monotonically_increasing_id()), "rows")
-    return near_rows(rows, "uid", similar, limit, node_rows, rest=False).select("doc_id", "component_id")
-
-
-def near_rows(docs: DataFrame, key: str, similar: float = SIMILAR, limit: int = REACH, node_rows: int = NODE_ROWS, rest: bool = True) -> DataFrame:
-    """``key``, doc_id, component_id and ``keep`` for every row: the smallest doc_id joined to the row, and the key of the row that has it.
-
-    ``key`` is a long of its own for every row, the same whenever it is read. A null doc_id comes after
-    all others; among equal ones the row of smallest key is kept.
-
-    First the Gray index: fingerprints are put into several Gray orders, each of
-    another permutation of the bits, and searched within upper nodes of about
-    ``node_rows``. With p bits shared in a node, a pair ``limit`` bits apart meets
-    in one order with probability (1 - limit/64)^p; the number of orders follows
-    from p so that it meets in one of them with probability ``RECALL``. Pairs are
-    kept where the shingles' similarity is ``similar`` or more: by their sketches
-    where these put it clearly to one side, else by the shingles themselves, which
-    are sent only for documents in an open pair, once a node.
-
-    Then, with ``rest``, all pairs the index did not join, however far apart their fingerprints:
-    sets of similarity ``similar`` share ``SHARED`` shingles of their prefixes.
-    Prefixes are met by shingle in buckets, pairs of one component are passed
-    over, and the rest is compared by the shingles. Rows of one fingerprint,
-    sketch and shingle set are one entry throughout.
-    """
+def _features(docs: DataFrame, key: str, similar: float) -> DataFrame:
+    """``key``, doc_id, digest of the shingle set, fp, size, prefix of every row."""
     spark = docs.sparkSession
-    schema = "fp long, sketch binary, digest long, size long, prefix array<long>"
     every = max(1, docs.count() // SAMPLE)
+    text = F.coalesce("text", F.lit("")).alias("text")
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         release()
         for batch in batches:
-            made = [np.unique(near_features(t, {})[2]) for t in batch["text"]]
+            made = [shingle_set(t, {}) for t in batch["text"]]
             yield pd.DataFrame({"token": np.concatenate([*made, np.zeros(0, np.uint64)]).view(np.int64)})
 
-    text = F.coalesce("text", F.lit("")).alias("text")
     sample = docs.filter(F.pmod(F.xxhash64(key), F.lit(every)) == 0).select(text).mapInPandas(shingles, "token long")
     often = sample.groupBy("token").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "token").limit(COMMON)
     found = np.array([tuple(r) for r in often.collect()], np.int64).reshape(-1, 2)
     found = found[np.argsort(found[:, 0].copy().view(np.uint64))]
     common = spark.sparkContext.broadcast((found[:, 0].copy().view(np.uint64), found[:, 1].copy()))
 
-    @F.pandas_udf(schema)
+    @F.pandas_udf("digest binary, fp long, size int, prefix array<long>")
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         release()
         seen: dict[str, int] = {}
         for batch in batches:
-            made = [near_features(t, seen) for t in batch]
-            sets = [np.unique(m[2]) for m in made]
-            digest = np.array([xxhash.xxh64_intdigest(x.astype("<u8").tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
-            heads = [prefix(x, *common.value, similar).view(np.int64) for x in sets]
-            yield pd.DataFrame({"fp": np.array([m[0] for m in made], np.uint64).view(np.int64), "sketch": [m[1] for m in made], "digest": digest, "size": [len(x) for x in sets], "prefix": heads})
+            sets = [shingle_set(t, seen) for t in batch]
+            yield pd.DataFrame(
+                {
+                    "digest": [xxhash.xxh128_digest(x.astype("<u8").tobytes(), SEED) for x in sets],
+                    "fp": np.array([majority(x) for x in sets], np.uint64).view(np.int64),
+                    "size": np.array([len(x) for x in sets], np.int32),
+                    "prefix": [prefix(x, *common.value, similar).view(np.int64) for x in sets],
+                }
+            )
+
+    return store(docs.select(key, "doc_id", features(text).alias("f")).select(key, "doc_id", "f.*"), "features")
 
-    @F.pandas_udf("binary")
+
+def _whole_sets(docs: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """(id, shingles) for ``wanted`` (id, at), from the text of the row whose key is ``at``; only texts that a sieve lets through are shuffled."""
+
+    @F.pandas_udf("array<long>")
     def whole(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         release()
         seen: dict[str, int] = {}
         for batch in batches:
-            yield pd.Series([np.unique(near_features(t, seen)[2]).astype("<u8").tobytes() for t in batch])
+            yield pd.Series([shingle_set(t, seen).view(np.int64) for t in batch])
 
-    rows = docs.select(key, "doc_id", features(text).alias("f")).select(key, "doc_id", "f.*")
-    rows = store(rows.withColumn("id", F.xxhash64("fp", "sketch", "digest")), "features")
-    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("at"))).alias("low")
-    classes = rows.groupBy("id").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), low)
-    distinct = store(classes, "classes")
-    n = distinct.count()
-    shared = max(1, int(np.ceil(np.log2(max(2, n / node_rows)))))
-    orders = max(2, int(np.ceil(np.log(1 - RECALL) / np.log(1 - (1 - limit / 64) ** shared)))) if n > node_rows else 1
-    permutations = [np.random.default_rng(k).permutation(64) for k in range(orders)]
+    some = sieve(docs.select(key, F.coalesce("text", F.lit("")).alias("text")), F.xxhash64(key), wanted.select(F.xxhash64("at").alias("h")))
+    rows = some.filter("maybe").join(wanted, F.col(key) == F.col("at"))
+    return store(rows.select("id", whole("text").alias("shingles")), "sets")
 
-    def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            bits = np.unpackbits(batch["fp"].to_numpy("<i8").view(np.uint8).reshape(-1, 8), axis=1)
-            for k, order in enumerate(permutations):
-                code = np.ascontiguousarray(np.packbits(bits[:, order], axis=1)).view("<u8").ravel()
-                node = (gray_rank(code) >> np.uint64(64 - shared)).astype(np.int64) if orders > 1 else np.zeros(len(code), np.int64)
-                yield pd.DataFrame({"node": node + (k << 48), "code": code.view(np.int64), "id": batch["id"], "sketch": batch["sketch"]})
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        """u and its shingles, from the text of one row of each id."""
-        needed = store(ids.join(distinct, "id").select("id", F.col("low.at").alias("at")), "needed")
-        return docs.select(key, text).join(needed, F.col(key) == F.col("at")).select(F.col("id").alias("u"), whole("text").alias("shingles"))
-
-    routed = distinct.select("fp", "id", "sketch").mapInPandas(turn, "node long, code long, id long, sketch binary")
-    found = store(routed.groupBy("node").applyInPandas(_similar(limit, similar), "u long, v long, node long"), "found")
-    waiting = found.filter("node IS NOT NULL")
-    sets = sets_of(waiting.select(F.col("u").alias("id")).distinct()).join(distinct.select(F.col("id").alias("u"), "fp", "sketch"), "u")
-    settled = waiting.join(sets, "u").groupBy("node").applyInPandas(_exact(limit, similar), "u long, v long")
-    near = store(found.filter("node IS NULL").select("u", "v").unionByName(settled), "near")
-    roots = store(components(near), "roots").withColumnRenamed("id", "rid")
-    if rest:
-        roots = _rest(distinct, roots, sets_of, similar)
-    labels = distinct.select("id", "low").join(roots, F.col("id") == F.col("rid"), "left").select("id", "low", F.coalesce("root", "id").alias("root"))
-    lowest = labels.groupBy("root").agg(F.min("low").alias("low"))
-    labels = labels.select("id", "root").join(lowest, "root").select("id", F.col("low.doc_id").alias("component_id"), F.col("low.at").alias("keep"))
-    out = store(rows.select(key, "doc_id", "id").join(labels, "id").select(key, "doc_id", "component_id", "keep"), "groups")
-    drop(rows, distinct, found, near)
+
+def near_rows(docs: DataFrame, key: str, similar: float = SIMILAR, limit: int = LIMIT, group_rows: int = GROUP_ROWS, turns: int = TURNS) -> DataFrame:
+    """``key``, doc_id, component_id and ``keep`` for every row: the smallest doc_id joined to the row, and the key of the row that has it.
+
+    Two rows are joined where the sets of their five-word shingles have a Jaccard
+    similarity of ``similar`` or more, and through others. All such pairs count,
+    whatever their fingerprints; none counts on an estimate.
+
+    1. Rows of one shingle set are a class. The Gray index joins classes whose
+       fingerprints lie within ``limit`` bits, each link checked on the sets.
+    2. Sets of similarity ``similar`` share ``SHARED`` shingles of their prefixes (a
+       fifth of a set, rarest first). Shingles that stand in one prefix only
+       are left out by a count over all. In ``turns`` turns every component is
+       compared with a few members of the largest component at its shingles, those
+       that share most with it, so that a large group of copies becomes one component
+       in linear work.
+    3. All pairs of different components that share enough are compared, first the
+       one that shares most for each two components, then the rest.
+
+    ``key`` identifies a row, in any type, the same whenever it is read. A null
+    doc_id comes after all others; among equal ones the row of smallest key is
+    kept. Null and empty texts are one class; texts of fewer than five words are
+    joined to their equals alone; an empty table gives no rows; columns beyond
+    key, doc_id and text are not read. A text however long is one row in a task.
+    """
+    rows = _features(docs.select(key, "doc_id", "text"), key, similar)
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("at"))).alias("low")
+    classes = rows.groupBy("digest").agg(low, F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    classes = store(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+
+    # shingles that stand in several prefixes
+    tokens = classes.select("id", "size", F.size("prefix").alias("head"), F.posexplode("prefix").alias("pos", "token"))
+    often = store(tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token"), "often")
+    some = sieve(tokens, F.xxhash64("token"), often.select(F.xxhash64("token").alias("h"))).filter("maybe").drop("maybe")
+    tokens = store(some.join(often, "token"), "tokens")
+
+    # the index: links between the first classes of each fingerprint, and from those to the others
+    prints = classes.filter(F.col("size") >= SHARED).select("id", "fp")
+    firsts = store(prints.groupBy("fp").agg(F.min("id").alias("first")), "firsts")
+    near = store(links(firsts.select("fp"), limit, group_rows), "near")
+    side = lambda at, name: firsts.select(F.col("fp").alias(at), F.col("first").alias(name))
+    asked = prints.join(firsts, "fp").filter("id != first").select(F.col("first").alias("u"), F.col("id").alias("v"))
+    asked = asked.unionByName(near.join(side("u", "a"), "u").join(side("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+    # the sets of all classes that can be part of a pair
+    able = tokens.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") >= SHARED).select("id")
+    wanted = able.unionByName(asked.select(F.explode(F.array("u", "v")).alias("id"))).distinct()
+    sets = _whole_sets(docs, key, store(wanted.join(classes.select("id", F.col("low.at").alias("at")), "id"), "wanted"))
+    roots = None
+
+    def check(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs of (u, v) that are similar, on the whole sets."""
+        both = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
+        shared = F.size(F.array_intersect("a", "b"))
+        return store(both.filter(shared >= F.lit(similar) * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v"), name)
+
+    def join_up(new: DataFrame) -> DataFrame:
+        """The roots after these links."""
+        if roots is not None:
+            if new.isEmpty():
+                return roots
+            new = new.unionByName(roots.select(F.col("rid").alias("u"), F.col("root").alias("v")))
+        return store(components(new), "roots").select(F.col("id").alias("rid"), "root")
+
+    def rooted(df: DataFrame, at: str, name: str) -> DataFrame:
+        return df.join(roots.select(F.col("rid").alias(at), F.col("root").alias(name)), at, "left").withColumn(name, F.coalesce(name, at))
+
+    def enough(shared: Column, a: Column, b: Column) -> Column:
+        """Whether sets of sizes a and b can be similar with at most so many in common."""
+        return shared >= F.lit(similar / (1 + similar)) * (a + b) - 1e-9
+
+    def fits(pairs: DataFrame) -> DataFrame:
+        """Pairs that can be similar: what their prefixes share and all that lies beyond the longer rest is enough."""
+        of = lambda at, x: classes.select(F.col("id").alias(at), F.col("size").alias(f"s{x}"), F.col("prefix").alias(f"p{x}"))
+        both = pairs.join(of("u", "u"), "u").join(of("v", "v"), "v")
+        most = F.size(F.array_intersect("pu", "pv")) + F.greatest(F.col("su") - F.size("pu"), F.col("sv") - F.size("pv"))
+        return both.filter(enough(most, F.col("su"), F.col("sv"))).select("u", "v", "n")
+
+    roots = join_up(check(asked, "indexed"))
+    rest = lambda size, head: F.col(size) - F.col(head)
+    for turn in range(turns):
+        mine = rooted(tokens, "id", "root")
+        members = mine.select("root", "id").distinct().groupBy("root").agg(F.count("*").alias("members"))
+        mine = mine.join(members, "root")
+        first = lambda j: F.min(F.struct(-F.col("members"), F.xxhash64("root", F.lit(turn)).alias("o"), "root", F.xxhash64("id", F.lit(j)).alias("i"), "id", "size", "head"))
+        several = range(1 if turn == 0 else PIVOTS)
+        pivots = mine.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), *(first(j + PIVOTS * turn).alias(f"p{j}") for j in several)).filter("x != y")
+        pivots = pivots.select("token", F.posexplode(F.array(*(f"p{j}" for j in several))).alias("j", "p"))
+        pairs = mine.join(pivots, "token").filter("root != p.root").groupBy("root", "j", "id", F.col("p.id").alias("u")).agg(F.count("*").alias("n"), *(F.first(F.col(f"p.{c}")).alias(f"u{c}") for c in ("size", "head")), *(F.first(c).alias(c) for c in ("size", "head")))
+        pairs = pairs.filter(enough(F.col("n") + F.greatest(rest("size", "head"), rest("usize", "uhead")), F.col("size"), F.col("usize")))
+        best = pairs.groupBy("root", "j").agg(F.max(F.struct("n", "u", "id")).alias("b")).select("b.u", F.col("b.id").alias("v")).distinct()
+        roots = join_up(check(best, f"turn{turn}"))
+    mine = store(rooted(tokens, "id", "root"), "mine")
+    mixed = mine.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("token")
+    mine = mine.join(mixed, "token")
+    # of two sets, the smaller shares them within a shorter prefix, since it must share more of its own than ``similar``
+    short = F.col("size") - F.ceil(F.lit(2 * similar / (1 + similar)) * F.col("size") - 1e-9) + SHARED
+    small = mine.filter(F.col("pos") < short).select("token", F.col("pos").alias("xu"), F.col("id").alias("u"), F.col("size").alias("su"), F.col("root").alias("ru"))
+    large = mine.select("token", F.col("pos").alias("xv"), F.col("id").alias("v"), F.col("size").alias("sv"), F.col("root").alias("rv"))
+    order = (F.col("su") < F.col("sv")) | ((F.col("su") == F.col("sv")) & (F.col("u") < F.col("v")))
+    most = F.least("xu", "xv") + F.least(F.col("su") - F.col("xu"), F.col("sv") - F.col("xv"))  # in common, before the shingle and from it on
+    met = small.join(large, "token").filter(order & (F.col("ru") != F.col("rv")) & (F.col("su") >= similar * F.col("sv") - 1e-9) & enough(most, F.col("su"), F.col("sv")))
+    met = met.groupBy("u", "v").agg(F.count("*").alias("n")).filter(F.col("n") >= SHARED)
+    left = store(fits(met), "left")
+    apart = rooted(rooted(left, "u", "ru"), "v", "rv")
+    first = apart.groupBy(F.least("ru", "rv").alias("x"), F.greatest("ru", "rv").alias("y")).agg(F.max(F.struct("n", "u", "v")).alias("p")).select("p.u", "p.v")
+    roots = join_up(check(first, "first"))
+    apart = rooted(rooted(left, "u", "ru"), "v", "rv").filter("ru != rv")
+    roots = join_up(check(apart.select("u", "v"), "last"))
+
+    labels = rooted(classes.select("id", "digest", "low"), "id", "root")
+    lowest = labels.groupBy("root").agg(F.min("low").alias("best"))
+    labels = labels.join(lowest, "root").select("digest", F.col("best.doc_id").alias("component_id"), F.col("best.at").alias("keep"))
+    out = store(rows.select(key, "doc_id", "digest").join(labels, "digest").select(key, "doc_id", "component_id", "keep"), "groups")
+    drop(rows, classes, often, tokens, firsts, near, sets, left)
     return out
 
 
-def _rest(distinct: DataFrame, roots: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similar: float) -> DataFrame:
-    """(rid, root) of all pairs that are similar, from the roots that the index found."""
-    amount = distinct.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    buckets = max(1, int(amount) // BUCKET)
-    rooted = distinct.join(roots, F.col("id") == F.col("rid"), "left").select("id", "size", "prefix", F.coalesce("root", "id").alias("root"))
-    tokens = rooted.select("id", "root", "size", F.explode("prefix").alias("token")).withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)))
-    met = tokens.groupBy("bucket").applyInPandas(_meet(similar), "u long, v long, n long")
-    pairs = store(met.groupBy("u", "v").agg(F.sum("n").alias("n")).filter(F.col("n") >= SHARED), "pairs")
-    proof = store(sets_of(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()), "sets")
-
-    def apart() -> DataFrame:
-        """Pairs whose ends are in different components."""
-        side = lambda u, r: roots.select(F.col("rid").alias(u), F.col("root").alias(r))
-        both = pairs.join(side("u", "ru"), "u", "left").join(side("v", "rv"), "v", "left")
-        return both.withColumn("ru", F.coalesce("ru", "u")).withColumn("rv", F.coalesce("rv", "v")).filter("ru != rv")
-
-    def join_similar(asked: DataFrame, name: str) -> DataFrame:
-        """The roots after the similar ones of these pairs are joined."""
-        asked = asked.join(proof.withColumnRenamed("shingles", "a"), "u").join(proof.select(F.col("u").alias("v"), F.col("shingles").alias("b")), "v")
-        new = store(asked.filter(_verified(similar)("a", "b")).select("u", "v"), name)
-        if new.isEmpty():
-            return roots
-        return store(components(roots.select(F.col("rid").alias("u"), F.col("root").alias("v")).unionByName(new)), "roots").withColumnRenamed("id", "rid")
-
-    # the pair of two components that shares most goes first; what it joins need not be compared any more
-    most = apart().groupBy(F.least("ru", "rv").alias("x"), F.greatest("ru", "rv").alias("y")).agg(F.max(F.struct("n", "u", "v")).alias("p"))
-    roots = join_similar(most.select("p.u", "p.v"), "first")
-    roots = join_similar(apart().select("u", "v"), "last")
-    drop(pairs, proof)
-    return roots
+def near_groups(docs: DataFrame, similar: float = SIMILAR, limit: int = LIMIT, group_rows: int = GROUP_ROWS, turns: int = TURNS) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id joined to it, for every row; see ``near_rows``."""
+    rows = store(docs.select("doc_id", "text").withColumn("uid", F.monotonically_increasing_id()), "rows")
+    return near_rows(rows, "uid", similar, limit, group_rows, turns).select("doc_id", "component_id")

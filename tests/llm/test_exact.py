@@ -153,11 +153,11 @@ def test_near_groups_join_near_copies_alone(spark):
         text = [word() for _ in range(300)]
         for c in range(3):
             copy = list(text)
-            for i in dice.sample(range(300), c):
+            for i in dice.sample(range(300), 2 * c):
                 copy[i] = word()
             want[len(docs)] = 3 * g
             docs.append((len(docs), " ".join(copy)))
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(spark.createDataFrame(docs, "doc_id long, text string"), node_rows=8).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(spark.createDataFrame(docs, "doc_id long, text string"), group_rows=8).collect()}
     assert got == want
 
 
@@ -174,39 +174,52 @@ def test_near_groups_at_the_threshold_against_brute_force(spark):
                 copy[i] = word()
             texts.append(copy)
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
-    prints = [simhash.near_features(t, {})[0] for _, t in rows]
     sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
-    near = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= simhash.REACH and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
     want = joined(list(range(len(rows))), near)
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(rows))] == [int(w) for w in want]
 
 
-def test_near_groups_of_appended_truncated_and_short_copies_by_similarity_alone(spark):
+def test_near_groups_by_kind_of_edit_and_in_a_dense_group(spark):
     dice = random.Random(5)
     word = lambda: "".join(dice.choice("abcdefghij") for _ in range(dice.randint(2, 9)))
     texts = []
     for _ in range(25):
         base = [word() for _ in range(dice.choice([60, 150, 400]))]
         n = len(base)
-        short = list(base)
+        short, at = list(base), dice.randrange(n // 2)
         for i in dice.sample(range(n), 2):
             short[i] = word()
+        new = [word() for _ in range(n // 11)]
         texts += [base, base + [word() for _ in range(n // 5)], base[: n - n * 15 // 100], base + [word() for _ in range(n // 10)], short]
-    texts += [["four", "words", "and", c] for c in "xyz"] + [["a", "b", "c"]] * 2
+        texts += [base[:at] + new + base[at + len(new) :], base[:at] + base[at + n * 15 // 100 :]]
+    base = [word() for _ in range(120)]
+    for _ in range(70):  # pairs on both sides of the threshold
+        copy = list(base)
+        for i in dice.sample(range(120), dice.randint(1, 5)):
+            copy[i] = word()
+        texts.append(copy)
+    texts += [["four", "words", "and", c] for c in "xyz"] + [["a", "b", "c"]] * 2 + [[], []]
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
-    prints = [simhash.near_features(t, {})[0] for _, t in rows]
     sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
     near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
     want = joined(list(range(len(rows))), near)
-    far = [(a, b) for a in range(len(rows)) for b in range(a) if near(a, b) and (prints[a] ^ prints[b]).bit_count() > simhash.REACH]
-    assert len(far) > 25
-    for node_rows in (8, simhash.NODE_ROWS):
+    for turns in (0, 2):
         docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "uid long, doc_id long, text string")
-        got = {r["doc_id"]: (r["component_id"], r["keep"]) for r in simhash.near_rows(docs, "uid", node_rows=node_rows).collect()}
+        got = {r["doc_id"]: (r["component_id"], r["keep"]) for r in simhash.near_rows(docs, "uid", turns=turns).collect()}
         assert [got[i] for i in range(len(rows))] == [(int(w), int(w)) for w in want]
 
 
+def test_near_groups_of_odd_rows(spark):
+    got = simhash.near_groups(odd(spark)).collect()
+    assert len(got) == len(ODD)
+    by = {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None}
+    assert by == {1: 1, 2: 2, 3: 3, 4: 3, 5: 5, 6: 6, 7: 6}
+    assert sorted(r["component_id"] for r in got if r["doc_id"] is None) == [2, 3]
+    assert simhash.near_groups(odd(spark).limit(0)).count() == 0
+
+
 def brute_strip(texts):
     seen, out = {}, []
     for d, x in enumerate(texts):
