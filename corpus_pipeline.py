@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import decontam, mixing, quality, queries, simhash, token_ids
-from loomgraph.shared import store
+from loomgraph.shared import drop, sieve, store
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -23,28 +23,47 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter(F.col("score") >= quality.THRESHOLD).select(*COLUMNS)
 
 
+def _row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``uid``: 128 bits of the SHA-256 of doc_id and text, so that a decision on a row meets that row alone, whatever its doc_id."""
+    whole = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("|"), F.coalesce(F.concat(F.lit("t"), "text"), F.lit("")))
+    return docs.withColumn("uid", F.substring(F.unhex(F.sha2(whole, 256)), 1, 16))
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose uid is in ``gone``; a row that a sieve clears is not shuffled."""
+    marked = sieve(docs, F.xxhash64("uid"), gone.select(F.xxhash64("uid").alias("h")))
+    clear, rest = marked.filter("NOT maybe"), marked.filter("maybe").join(gone, "uid", "left_anti")
+    return clear.select(*COLUMNS).unionByName(rest.select(*COLUMNS))
+
+
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents joined by five-word shingle similarity of 0.8 or more, the one of smallest doc_id stays.
 
     Every row is judged by itself, whatever its doc_id: a null one comes after all
-    others, and of rows with the same one that of the smallest hash stays. A row's
-    key is a hash of doc_id and text, made unique first where ids repeat.
+    others, and of rows with the same one that of the smallest key stays. Null and
+    empty texts are copies of each other. Rows that repeat under one doc_id and
+    text are one row.
     """
     docs = docs.select(*COLUMNS)
     ids = docs.agg(F.count("*"), F.count_distinct("doc_id"), F.count("doc_id")).first()
     if len(set(ids)) > 1:  # rows that repeat under one doc_id
         docs = store(docs.dropDuplicates(["doc_id", "text"]), "distinct")
-    docs = docs.withColumn("uid", F.xxhash64("doc_id", F.lit("|"), "text"))
-    gone = store(simhash.near_rows(docs, "uid").filter("uid != keep").select("uid"), "gone")
-    return docs.join(gone, "uid", "left_anti").select(*COLUMNS)
+    docs = _row_key(docs)
+    groups = simhash.near_rows(docs, "uid")
+    gone = store(groups.filter("uid != keep").select("uid"), "gone")
+    drop(groups)
+    return _without(docs, gone)
 
 
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go; every row is judged by itself, by a hash of its text, whatever its doc_id."""
-    docs = docs.select(*COLUMNS).withColumn("uid", F.xxhash64(F.coalesce("text", F.lit(""))))
+    """Documents that hold a benchmark passage go; every row is judged by itself, by a key of its doc_id and text.
+
+    Null and empty texts hold none and stay; rows that repeat stay or go together.
+    """
+    docs = _row_key(docs.select(*COLUMNS))
     marks = decontam.contaminated(docs, queries.table(spark, sf_dir, "benchmark"), key="uid")
     bad = store(marks.filter("contaminated").select("uid").distinct(), "bad")
-    return docs.join(bad, "uid", "left_anti").select(*COLUMNS)
+    return _without(docs, bad)
 
 
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
