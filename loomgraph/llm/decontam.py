@@ -4,7 +4,10 @@ Every text becomes a row of template tokens: numbers, names and units turn into
 typed placeholders, other words into lower case without punctuation at their
 ends. A name is a capitalised word that does not open a sentence. Windows of
 ``WINDOW`` tokens with ``LITERALS`` or more plain words are hashed; an item
-shorter than that is one window of its own length.
+shorter than that is one window of its own length. Windows of fewer plain words,
+as of short or number-heavy items, say too little as templates: they are matched
+by what they hold, value for value. An item of one or two tokens is matched only
+where it is the whole document.
 
 A document's windows pass a bitmap of ``2^BITS`` bits of the benchmark's hashes (a
 fixed size, so it is broadcast) and then a hash join on the hash and the window's
@@ -25,7 +28,8 @@ a passage are of different classes and are judged each by its own values.
 
 Defined results: one row per input row, repeated ones too; null and empty texts
 and null benchmark texts match nothing; an empty benchmark marks nothing; an
-empty table gives no rows.
+empty table gives no rows. A text however long is one row in a task, and its
+windows are made in one pass; columns beyond key, doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -40,10 +44,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.labelled import release
-from loomgraph.shared import store
+from loomgraph.shared import drop, store
 
 WINDOW = 8
 LITERALS = 4
+#: An item of fewer tokens must be the whole document.
+SHORT = 3
 BITS = 24
 CACHE = 400_000
 #: Units of measure and spelled numbers that become placeholders.
@@ -61,7 +67,7 @@ _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¿¡
 _END, _CAPITAL, _SLOT = 1, 2, 4
 _KINDS = {name: (xxhash.xxh64_intdigest(f"\0{name}") >> 4) << 3 for name in ("NUM", "UNIT", "NAME")}
 _PRIME = 0x9E3779B97F4A7C15
-HITS = "uid long, doc_id string, pos int, h long, template string, slots array<string>"
+HITS = "uid string, doc_id string, pos int, h long, template string, slots array<string>"
 
 
 class Templates:
@@ -81,8 +87,8 @@ class Templates:
         capital = _CAPITAL if core[:1].isupper() and core[1:].islower() else 0
         return (xxhash.xxh64_intdigest((low or token).encode("utf-8", "replace")) >> 4) << 3 | capital | end
 
-    def __call__(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Canonical hashes, and which tokens are placeholders."""
+    def __call__(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Canonical hashes, which tokens are placeholders, and hashes of the words themselves."""
         seen = self.seen
         if len(seen) > CACHE:
             seen.clear()
@@ -95,27 +101,38 @@ class Templates:
         opens = np.concatenate([[True], (codes[:-1] & _END) > 0])[: len(codes)]
         name = ((codes & _CAPITAL) > 0) & ~opens
         slot = ((codes & _SLOT) > 0) | name
-        return np.where(name, _KINDS["NAME"] >> 3, codes >> 3).astype(np.uint64), slot
+        words = codes >> 3
+        for i in np.flatnonzero(codes & _SLOT).tolist():
+            words[i] = xxhash.xxh64_intdigest(tokens[i].strip(_EDGES).lower().encode("utf-8", "replace")) >> 4
+        return np.where(name, _KINDS["NAME"] >> 3, codes >> 3).astype(np.uint64), slot, words.astype(np.uint64)
 
 
-def window_hashes(codes: np.ndarray, slot: np.ndarray, width: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start positions and hashes of the windows with enough plain words."""
+def window_hashes(codes: np.ndarray, slot: np.ndarray, words: np.ndarray, width: int, literals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start positions and hashes of the windows, and which have too few plain words, so that the words themselves are hashed."""
     n = len(codes) - width + 1
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if n < 1 or width < SHORT and n > 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    running = np.concatenate([[0], np.cumsum(~slot)])
+    bare = running[width:] - running[:-width] < literals
     h = np.zeros(n, np.uint64)
     for j in range(width):
         h = h * np.uint64(_PRIME) + codes[j : j + n]
+    at = np.flatnonzero(bare)
+    if len(at):
+        own = np.full(len(at), width, np.uint64)
+        for j in range(width):
+            own = own * np.uint64(_PRIME) + words[at + j]
+        h[at] = ~own
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    running = np.concatenate([[0], np.cumsum(~slot)])
-    good = np.flatnonzero(running[width:] - running[:-width] >= literals)
-    return good, h[good]
+    return np.arange(n), h, bare
 
 
-def describe(tokens: list[str], slot: np.ndarray, codes: np.ndarray, at: int, width: int) -> tuple[str, list[str]]:
-    """A window's template with numbered placeholders, and the placeholders' kinds and values in order."""
+def describe(tokens: list[str], slot: np.ndarray, codes: np.ndarray, at: int, width: int, bare: bool = False) -> tuple[str, list[str]]:
+    """A window's template with numbered placeholders, and the placeholders' kinds and values in order; of a bare one its words."""
+    if bare:
+        return "= " + " ".join(t.strip(_EDGES).lower() or t for t in tokens[at : at + width]), []
     out, values, number = [], [], {}
     kinds = {v >> 3: k for k, v in _KINDS.items()}
     for i in range(at, at + width):
@@ -139,13 +156,14 @@ def benchmark_windows(benchmark: DataFrame, width: int = WINDOW, literals: int =
             for item, text in zip(batch["item_id"], batch["text"]):
                 tokens = text.split()
                 w = min(width, len(tokens))
-                if w < literals:
+                if not w:
                     continue
-                codes, slot = templates(tokens)
+                codes, slot, words = templates(tokens)
                 whole, values = describe(tokens, slot, codes, 0, len(tokens))
                 kind, variant = (xxhash.xxh128_hexdigest(x.encode("utf-8", "replace")) for x in (whole, "\n".join(values)))
-                for at, h in zip(*window_hashes(codes, slot, w, literals)):
-                    rows.append((item, kind, variant, int(at), int(h.view(np.int64)), w, *describe(tokens, slot, codes, int(at), w)))
+                for at, h, bare in zip(*window_hashes(codes, slot, words, w, literals)):
+                    own = f"{kind} {variant}" if bare else kind  # words stand for the items that hold them alone
+                    rows.append((item, own, variant, int(at), int(h.view(np.int64)), w, *describe(tokens, slot, codes, int(at), w, bare)))
             yield pd.DataFrame(rows, columns=["item_id", "class", "variant", "ipos", "h", "width", "template", "islots"])
 
     rows = benchmark.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
@@ -178,26 +196,30 @@ def hits(docs: DataFrame, windows: DataFrame, width: int = WINDOW, literals: int
         for batch in batches:
             rows = []
             for own, doc, text in zip(batch["own"], batch["doc_id"], batch["text"]):
-                uid = own if key else uid
-                rows.append((uid, doc, None, None, None, None))
+                name = own if key else str(uid)
+                rows.append((name, doc, None, None, None, None))
                 tokens = text.split()
-                codes, slot = templates(tokens)
+                codes, slot, words = templates(tokens)
                 for w in (width, *shorter):
-                    at, h = window_hashes(codes, slot, w, literals)
+                    at, h, bare = window_hashes(codes, slot, words, w, literals)
                     low = (h & np.uint64((1 << BITS) - 1)).astype(np.int64)
                     near = np.flatnonzero(bits[low >> 5] >> (low & 31).astype(np.uint32) & np.uint32(1))
                     for k in near:
-                        rows.append((uid, doc, int(at[k]), int(h[k].view(np.int64)), *describe(tokens, slot, codes, int(at[k]), w)))
+                        rows.append((name, doc, int(at[k]), int(h[k].view(np.int64)), *describe(tokens, slot, codes, int(at[k]), w, bare[k])))
                 uid += 1
             uids, ids, at, h, template, slots = zip(*rows) if rows else ((),) * 6
             yield pd.DataFrame({"uid": uids, "doc_id": ids, "pos": pd.array(at, dtype="Int32"), "h": pd.array(h, dtype="Int64"), "template": template, "slots": slots})
 
-    own = (F.col(key) if key else F.lit(0)).cast("long").alias("own")
+    own = (_as_text(docs, key) if key else F.lit("")).alias("own")
     return docs.select(own, F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, HITS)
 
 
+def _as_text(docs: DataFrame, key: str):
+    return F.hex(key) if docs.schema[key].dataType.simpleString() == "binary" else F.col(key).cast("string")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, literals: int = LITERALS, key: str | None = None) -> DataFrame:
-    """doc_id, contaminated, n_windows, n_items, reparameterised, items; one row per input row, with ``key`` first if it names a long that rows of different texts do not share."""
+    """doc_id, contaminated, n_windows, n_items, reparameterised, items; one row per input row, with ``key`` first if it names a column that rows of different texts do not share."""
     made = store(benchmark_windows(benchmark, width, literals), "templates")
     classes = made.groupBy("class").agg(F.collect_set("item_id").alias("members"))
     windows = store(class_windows(made), "windows")
@@ -218,8 +240,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, lit
     union = lambda column: F.array_distinct(F.flatten(F.collect_list(column)))
     marks = counted.join(classes, "class").groupBy("uid").agg(F.size(union("windows")).cast("long").alias("n_windows"), F.sort_array(union("members")).alias("items"), F.max("changed").alias("reparameterised"))
     out = every.join(marks, "uid", "left")
+    kind = docs.schema[key].dataType.simpleString() if key else ""
     return out.select(
-        *([F.col("uid").alias(key)] if key else []),
+        *([(F.unhex("uid") if kind == "binary" else F.col("uid").cast(kind)).alias(key)] if key else []),
         F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"),
         F.col("n_windows").isNotNull().alias("contaminated"),
         F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"),

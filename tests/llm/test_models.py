@@ -72,6 +72,15 @@ def test_items_of_one_template(spark):
     assert same["items"] == [2, 3] and not same["reparameterised"] and same["n_windows"] == 9
 
 
+def test_short_and_number_heavy_items(spark):
+    items = {1: "2 + 2 = 4", 2: "one red dog", 3: "yes", 4: "7 8 9 10 11 12 13 14 15 16", 5: "7 8 9 10 11 12 13 14 15 17"}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    texts = ["so 2 + 2 = 4 it is", "so 2 + 3 = 5 it is", "See one red dog run.", "two red dog", "yes", "oh yes it is", "then 7 8 9 10 11 12 13 14 15 17", "8 7 9 10 12 11 13 14 15 18", "word " * 60000 + "one red dog"]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, items string")
+    got = {r["doc_id"]: r["items"] for r in decontam.contaminated(docs, bench).collect()}
+    assert got == {0: [1], 1: [], 2: [2], 3: [], 4: [3], 5: [], 6: [4, 5], 7: [], 8: [2]}
+
+
 def test_verbatim_passages(spark):
     docs, bench = (spark.read.parquet(f"{DIR}/{x}.parquet") for x in ("documents", "benchmark"))
     items = [r["text"] for r in bench.collect()]
