@@ -2,13 +2,17 @@
 
 1. One scan gives each row a 64-bit fingerprint and a SHA-256 of its normalised
    text, both JVM-side. The slim table of these is written; texts are not.
-2. Each sender (a block of rows of one input partition) cuts the fingerprints
-   to ``b`` bits, sorts the distinct ones within each owner's range and sends
-   them Golomb-Rice coded: about 1.5 + log2(mean gap) bits a row.
+2. Each sender (up to ``SENDER_ROWS`` rows of one input partition) cuts the
+   fingerprints to ``b`` bits, sorts the distinct ones within each owner's range
+   and sends them Golomb-Rice coded: about 1.5 + log2(mean gap) bits a row. There
+   are at most ``OWNERS`` owners, so a full sender's messages hold some hundred
+   rows or more and their number grows with the rows, not with their square.
 3. An owner decodes its messages, finds what two rows share, and returns one
    bitmap for each message, in the message's order.
-4. Rows whose bit is set are suspects. Only their texts are shuffled, combined
-   on the map side by whole text, and compared byte by byte.
+4. Rows whose bit is set are suspects. A second scan makes the fingerprint again
+   and tests it where the row is read, against bitmaps sized by the count of
+   suspects; only the texts that pass are shuffled, combined on the map side by
+   whole text, and compared byte by byte.
 
 Cutting to ``b = log2(rows) + 8`` bits makes about one row in 256 a false
 suspect whatever the size; step 4 clears those.
@@ -16,7 +20,7 @@ suspect whatever the size; step 4 clears those.
 Defined results: null text counts as empty; rows that repeat (even with one
 doc_id) each get a row, and exactly one of a group is kept; a null doc_id sorts
 last; an empty table gives no rows; columns other than doc_id and text are not
-read.
+read. A text however long is one row in a task.
 """
 
 from __future__ import annotations
@@ -28,11 +32,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.shared import store
+from loomgraph.shared import sieve, store
 
 SPACE = " \t\n\x0b\f\r"
-SENDER_ROWS = 1 << 17
+SENDER_ROWS = 1 << 20
 OWNER_ROWS = 1 << 19
+OWNERS = 1 << 13
 
 
 def normalised(text: Column) -> Column:
@@ -69,11 +74,22 @@ def rice_decode(n: int, k: int, payload: bytes) -> np.ndarray:
 def _senders(bits: int, owners: int):
     width = -(-(1 << bits) // owners)
 
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        held, n = [], 0
         for batch in batches:
-            prints = batch["fp"].to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+            held.append((batch["fp"].to_numpy(np.int64), batch["uid"].to_numpy(np.int64)))
+            n += len(batch)
+            if n >= SENDER_ROWS:
+                yield tuple(map(np.concatenate, zip(*held)))
+                held, n = [], 0
+        if n:
+            yield tuple(map(np.concatenate, zip(*held)))
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for prints, uids in blocks(batches):
+            prints = prints.view(np.uint64) >> np.uint64(64 - bits)
             order = np.argsort(prints, kind="stable")
-            prints, uids = prints[order], batch["uid"].to_numpy()[order]
+            prints, uids = prints[order], uids[order]
             cuts = np.searchsorted(prints, np.arange(owners + 1, dtype=np.uint64) * np.uint64(width))
             rows = []
             for owner in range(owners):
@@ -112,21 +128,11 @@ def exchange(prints: DataFrame, bits: int | None = None) -> DataFrame:
     The messages with their senders' row lists are written once, so bitmaps
     always meet the very rows they were made from, also after a lost executor.
     """
-    spark = prints.sparkSession
     n = prints.count()
     bits = bits or min(62, max(16, int(n).bit_length() + 8))
-    owners = max(8, -(-n // OWNER_ROWS))
-    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", SENDER_ROWS)
-    try:
-        messages = store(
-            prints.select("uid", "fp").mapInPandas(
-                _senders(bits, owners), "msg long, owner int, n int, k int, payload binary, twice binary, uids binary, counts binary"
-            ),
-            "messages",
-        )
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    owners = min(OWNERS, max(8, -(-n // OWNER_ROWS)))
+    schema = "msg long, owner int, n int, k int, payload binary, twice binary, uids binary, counts binary"
+    messages = store(prints.select("uid", "fp").mapInPandas(_senders(bits, owners), schema), "messages")
     sent = messages.select("msg", "owner", "n", "k", "payload", "twice")
     bitmaps = sent.groupBy("owner").applyInPandas(_owner, "msg long, owner int, bitmap binary")
     back = messages.select("msg", "owner", "n", "uids", "counts").join(bitmaps, ["msg", "owner"])
@@ -153,16 +159,16 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 32, bits: int | None = None
     marked = rows.join(suspects.withColumn("suspect", F.lit(True)), "uid", "left").withColumn("digest", F.substring("sha", 1, digest_bytes))
 
     # Byte comparison: the suspects' whole texts, one row for each text and map task.
-    ids = marked.filter("suspect").select("doc_id").distinct().withColumnRenamed("doc_id", "sid")
-    bodies = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("sid")), "left_semi")
-    bodies = bodies.select(normalised(F.col("text")).alias("norm")).groupBy("norm").agg(F.count("*").alias("n"))
+    held = rows.join(suspects, "uid", "left_semi").select("fp").distinct()
+    bodies = sieve(docs.select(normalised(F.col("text")).alias("norm")), F.xxhash64("norm"), held).filter("maybe")
+    bodies = bodies.groupBy("norm").agg(F.count("*").alias("n"))
     texts = store(
         bodies.select(F.substring(F.unhex(F.sha2("norm", 256)), 1, digest_bytes).alias("digest"), F.unhex(F.sha2("norm", 256)).alias("sha"))
         .groupBy("digest")
         .agg(F.count("*").alias("texts")),
         "texts",
     )
-    clashes = texts.filter("texts > 1").select("digest").cache()
+    clashes = store(texts.filter("texts > 1").select("digest"), "clashes")
     if clashes.isEmpty():
         marked = marked.withColumn("body", F.lit(None).cast("string"))
     else:  # different texts under one digest: these rows are told apart by their text
