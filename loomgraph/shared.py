@@ -57,10 +57,24 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def store_buckets(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
+    """As ``store``, but as a table bucketed by ``key``: what is hashed by ``key`` into as many partitions meets it without a shuffle of it."""
+    spark = df.sparkSession
+    at = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/loomgraph/{at}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(at)
+    _written.append(path)
+    out = spark.table(at)
+    out._stored_at, out._named = path, at
+    return out
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by ``store`` that no later plan reads."""
     for table in tables:
         path = getattr(table, "_stored_at", None)
+        if hasattr(table, "_named"):
+            table.sparkSession.sql(f"DROP TABLE IF EXISTS {table._named}")
         if path in _written:
             _delete(table.sparkSession, path)
             _written.remove(path)
