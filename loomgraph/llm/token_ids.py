@@ -4,14 +4,17 @@ Shards: documents in ascending doc_id order are cut into shards of about
 ``SHARD_IDS`` ids. A shard is one row of a Parquet file: its number, the ids of
 all shards before it, the byte width of an id, the raw little-endian ids, and
 the length of each document. Cutting needs one range shuffle of encoded ids; no
-task holds more than one shard.
+task holds more than one shard. The table is bucketed by the part that wrote a
+shard, so that look-ups come to the shards and payloads are not shuffled again.
 
 Index: a document key is (doc_id, copy), copy counting rows of one doc_id. Keys
 are dealt to buckets by hash. Each bucket has a minimal perfect hash: levels of
 bit arrays in which a key that is alone at its place gets that place's rank,
 the others going on to the next level. At the rank lie a 16-bit fingerprint,
-shard, position, and length. A look-up costs a few bit probes and one read; a key
-that was never stored is refused by its fingerprint but for one in 65,536.
+shard, position, and length. A look-up costs a few bit probes and one read of a
+payload at the offset the index gives; a key that was never stored is refused by
+its fingerprint but for one in 65,536. The index is built from the shards' lists
+of ids and lengths; rows are delivered from the payloads alone.
 
 Encoding: white space never joins a token, so words between spaces and newlines
 are encoded once and remembered in a bounded table; the ids are those of encoding
@@ -19,7 +22,8 @@ the whole text.
 
 Defined results: null text is empty and has the end id alone; a null doc_id
 comes last; rows of one doc_id lie side by side, ordered by their ids; an empty
-table gives no shards and no rows.
+table gives no shards and no rows; columns beyond doc_id and text are not read. A
+text however long is one row in a task and stands in one shard.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.shared import drop, store
+from loomgraph.shared import drop, store, store_buckets
 
 END_ID = 1
 SHARD_IDS = 2_000_000
@@ -193,34 +197,59 @@ def write_shards(docs: DataFrame, path: str, shard_ids: int = SHARD_IDS) -> Data
     total = encoded.agg(F.sum("n")).first()[0] or 0
     key = F.col("doc_id").cast("long").asc_nulls_last()
     parts = max(1, -(-total // (2 * shard_ids)))
-    ordered = encoded.repartitionByRange(max(2, parts), key).sortWithinPartitions(key, "ids")
+    ordered = encoded.repartitionByRange(max(2, parts), key, F.substring("ids", 1, 16)).sortWithinPartitions(key, "ids")
     ordered = ordered.withColumn("doc_id", F.col("doc_id").cast("string"))
-    raw = store(ordered.mapInPandas(_cut(shard_ids), "part int, cut int, n_ids long, wide boolean, payload binary, doc_ids array<long>, lengths array<long>"), "shards")
+    schema = "part int, cut int, n_ids long, wide boolean, payload binary, doc_ids array<long>, lengths array<long>"
+    raw = store_buckets(ordered.mapInPandas(_cut(shard_ids), schema), "shards", max(2, parts), "part")
+    raw._parts = max(2, parts)
     drop(encoded)
     return raw
 
 
 def shard_starts(shards: DataFrame) -> DataFrame:
-    """part, cut, shard, first: the number of each shard and the ids before it. One row a shard enters the window."""
-    order = Window.orderBy("part", "cut")
-    before = F.coalesce(F.sum("n_ids").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return shards.select("part", "cut", "n_ids").select("part", "cut", (F.row_number().over(order) - 1).alias("shard"), before.alias("first"))
+    """part, cut, shard, first: the number of each shard and the ids before it.
+
+    Sums run within blocks of 1024 parts; one row a block enters the window over all.
+    """
+    rows = shards.select("part", "cut", "n_ids", F.shiftright("part", 10).alias("block"))
+    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("block").agg(F.sum("n_ids").alias("ids"), F.count("*").alias("shards"))
+    blocks = blocks.select("block", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("ids"), F.coalesce(F.sum("shards").over(earlier), F.lit(0)).alias("shards"))
+    order = Window.partitionBy("block").orderBy("part", "cut")
+    within = rows.withColumn("before", F.sum("n_ids").over(order) - F.col("n_ids")).withColumn("row", F.row_number().over(order) - 1)
+    return within.join(blocks, "block").select("part", "cut", (F.col("shards") + F.col("row")).alias("shard"), (F.col("ids") + F.col("before")).alias("first"))
 
 
-def read_shards(shards: DataFrame) -> DataFrame:
-    """One row per stored document, decoded from the payload: part, cut, doc_id, position, n_tokens, ids_crc32."""
+def stored_documents(shards: DataFrame) -> DataFrame:
+    """One row per stored document, from the shards' lists alone: doc_id, part, cut, position, length."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder_for.cache_clear()
         for batch in batches:
             for row in batch.itertuples(index=False):
-                ids = np.frombuffer(row.payload, "<u4" if row.wide else "<u2").astype("<u4")
-                ends = np.cumsum(row.lengths)
-                starts = ends - row.lengths
-                crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends)]
-                yield pd.DataFrame({"part": row.part, "cut": row.cut, "doc_id": pd.array(row.doc_ids, dtype="Int64"), "position": starts, "n_tokens": row.lengths, "ids_crc32": np.array(crc, np.int64)})
+                yield pd.DataFrame({"doc_id": pd.array(row.doc_ids, dtype="Int64"), "part": row.part, "cut": row.cut, "position": np.cumsum(row.lengths) - row.lengths, "length": row.lengths})
+
+    return shards.select("part", "cut", "doc_ids", "lengths").mapInPandas(run, "doc_id long, part int, cut int, position long, length long")
+
+
+def read_payloads(found: DataFrame, shards: DataFrame) -> DataFrame:
+    """Rows with part, cut, position and length to doc_id, part, cut, position, n_tokens, ids_crc32, cut from the payloads there."""
+
+    def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row in held.itertuples(index=False):
+            mine = asked[asked["cut"] == row.cut]
+            width = 4 if row.wide else 2
+            at, n = mine["position"].to_numpy(np.int64) * width, mine["length"].to_numpy(np.int64) * width
+            ids = [np.frombuffer(row.payload[a : a + k], "<u4" if row.wide else "<u2") for a, k in zip(at.tolist(), n.tolist())]
+            crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
+            out.append(pd.DataFrame({"doc_id": mine["doc_id"], "part": row.part, "cut": row.cut, "position": mine["position"], "n_tokens": [len(x) for x in ids], "ids_crc32": np.array(crc, np.int64)}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("doc_id", "part", "cut", "position", "n_tokens", "ids_crc32")})
 
-    return shards.mapInPandas(run, "part int, cut int, doc_id long, position long, n_tokens long, ids_crc32 long")
+    asked = found.select(F.col("doc_id").cast("string").alias("doc_id"), "part", "cut", "position", "length").repartition(shards._parts, "part")
+    read = asked.groupBy("part").cogroup(shards.select("part", "cut", "wide", "payload").groupBy("part"))
+    read = read.applyInPandas(run, "doc_id string, part int, cut int, position long, n_tokens long, ids_crc32 long")
+    return read.withColumn("doc_id", F.col("doc_id").cast(found.schema["doc_id"].dataType))
 
 
 def mix64(x: np.ndarray, seed: int) -> np.ndarray:
@@ -287,52 +316,54 @@ def _index(group: pd.DataFrame) -> pd.DataFrame:
     order[place] = np.arange(len(keys))
     prints = (mix64(keys, 1) & np.uint64(0xFFFF)).astype("<u2")
     col = lambda c: group[c].to_numpy("<i8")[order].tobytes()
-    return pd.DataFrame({"bucket": [group["bucket"].iloc[0]], "levels": [[x.tobytes() for x in levels]], "prints": [prints[order].tobytes()], "parts": [col("part")], "cuts": [col("cut")], "positions": [col("position")]})
+    return pd.DataFrame({"bucket": [group["bucket"].iloc[0]], "levels": [[x.tobytes() for x in levels]], "prints": [prints[order].tobytes()], "parts": [col("part")], "cuts": [col("cut")], "positions": [col("position")], "lengths": [col("length")]})
 
 
-def with_copy(rows: DataFrame, *order: str) -> DataFrame:
-    """The rows of one doc_id numbered, and ``k``, the key's number, in which null has a place of its own."""
+def with_copy(rows: DataFrame, *order: str, repeated: bool = True) -> DataFrame:
+    """The rows of one doc_id numbered (0 where none is ``repeated``), and ``k``, the key's number, in which null has a place of its own."""
     rows = rows.withColumn("k", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62) - 7)))
-    return rows.withColumn("copy", (F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)) - 1).cast("long"))
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)) - 1 if repeated else F.lit(0)
+    return rows.withColumn("copy", number.cast("long"))
 
 
-def build_index(read: DataFrame, rows: int, bucket_keys: int = BUCKET_KEYS) -> tuple[DataFrame, int]:
+def build_index(stored: DataFrame, rows: int, bucket_keys: int = BUCKET_KEYS, repeated: bool = True) -> tuple[DataFrame, int]:
     """The index table, one row per bucket, and the number of buckets."""
     buckets = max(1, -(-rows // bucket_keys))
-    columns = ["part", "cut", "position"]
-    keyed = with_copy(read.select("doc_id", *columns), *columns)
-    keyed = keyed.mapInPandas(lambda it: _bucket(it, buckets, columns), "part int, cut int, position long, bucket long, key long")
-    return store(keyed.groupBy("bucket").applyInPandas(_index, "bucket long, levels array<binary>, prints binary, parts binary, cuts binary, positions binary"), "index"), buckets
+    columns = ["part", "cut", "position", "length"]
+    keyed = with_copy(stored.select("doc_id", *columns), "part", "cut", "position", repeated=repeated)
+    keyed = keyed.mapInPandas(lambda it: _bucket(it, buckets, columns), "part int, cut int, position long, length long, bucket long, key long")
+    made = keyed.groupBy("bucket").applyInPandas(_index, "bucket long, levels array<binary>, prints binary, parts binary, cuts binary, positions binary, lengths binary")
+    return store(made, "index"), buckets
 
 
 def look_up(keys: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, copy) to doc_id, part, cut, position; keys that the index refuses give no row."""
+    """(doc_id, copy) to doc_id, part, cut, position, length; keys that the index refuses give no row."""
     kind = keys.schema["doc_id"].dataType
     asked = keys.select("copy", "k", F.col("doc_id").cast("string").alias("doc_id"))
     keyed = asked.mapInPandas(lambda it: _bucket(it, buckets, ["doc_id"]), "doc_id string, bucket long, key long")
 
     def probe(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(held) or not len(asked):
-            return pd.DataFrame({"doc_id": asked["doc_id"][:0], "part": [], "cut": [], "position": []})
+            return pd.DataFrame({"doc_id": asked["doc_id"][:0], "part": [], "cut": [], "position": [], "length": []})
         row = held.iloc[0]
         keys = asked["key"].to_numpy().view(np.uint64)
         place = PerfectHash([np.frombuffer(x, np.uint8) for x in row["levels"]])(keys)
         prints = np.frombuffer(row["prints"], "<u2")
         good = (place >= 0) & (prints[place] == (mix64(keys, 1) & np.uint64(0xFFFF)))
         take = lambda c: np.frombuffer(row[c], "<i8")[place[good]]
-        return pd.DataFrame({"doc_id": asked["doc_id"].to_numpy()[good], "part": take("parts"), "cut": take("cuts"), "position": take("positions")})
+        return pd.DataFrame({"doc_id": asked["doc_id"].to_numpy()[good], "part": take("parts"), "cut": take("cuts"), "position": take("positions"), "length": take("lengths")})
 
-    found = keyed.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(probe, "doc_id string, part int, cut int, position long")
+    found = keyed.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(probe, "doc_id string, part int, cut int, position long, length long")
     return found.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def token_table(docs: DataFrame, path: str, shard_ids: int = SHARD_IDS, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """Write shards and index, then read every document back by key: doc_id, start, n_tokens, ids_crc32."""
     shards = write_shards(docs, path, shard_ids)
-    read = store(read_shards(shards), "read")
-    index, buckets = build_index(read, read.count(), bucket_keys)
-    asked = with_copy(docs.select("doc_id"), "doc_id")
-    found = look_up(asked, index, buckets)
-    at = read.select("part", "cut", "position", "n_tokens", "ids_crc32").join(shard_starts(shards), ["part", "cut"])
-    out = found.join(at, ["part", "cut", "position"])
+    stored = store(stored_documents(shards), "stored")
+    rows, keys, known = stored.agg(F.count("*"), F.count_distinct("doc_id"), F.count("doc_id")).first()
+    repeated = not rows == keys == known
+    index, buckets = build_index(stored, rows, bucket_keys, repeated)
+    found = look_up(with_copy(docs.select("doc_id"), "doc_id", repeated=repeated), index, buckets)
+    out = read_payloads(found, shards).join(shard_starts(shards), ["part", "cut"])
     return out.select("doc_id", (F.col("first") + F.col("position")).alias("start"), "n_tokens", "ids_crc32")

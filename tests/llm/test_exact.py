@@ -300,8 +300,19 @@ def test_perfect_hash_is_minimal_and_refuses_strangers():
 def test_index_refuses_unknown_keys(spark):
     docs = spark.createDataFrame([(i, f"w{i} x") for i in range(300)], "doc_id long, text string")
     shards = token_ids.write_shards(docs, queries.tokenizer_path(), 50)
-    read = token_ids.read_shards(shards)
-    index, buckets = token_ids.build_index(read, 300, 64)
+    stored = token_ids.stored_documents(shards)
+    index, buckets = token_ids.build_index(stored, 300, 64)
     asked = token_ids.with_copy(spark.range(200, 1300).select(F.col("id").alias("doc_id")), "doc_id")
     found = {r["doc_id"] for r in token_ids.look_up(asked, index, buckets).collect()}
     assert set(range(200, 300)) <= found and len(found) <= 102
+
+
+def test_rows_come_from_the_place_the_index_names(spark):
+    docs = spark.createDataFrame([(i, f"w{i} x y") for i in range(40)], "doc_id long, text string")
+    shards = token_ids.write_shards(docs, queries.tokenizer_path(), 50)
+    stored = token_ids.stored_documents(shards)
+    read = lambda at: {r["doc_id"]: r["ids_crc32"] for r in token_ids.read_payloads(at, shards).collect()}
+    right = read(stored)
+    wrong = read(stored.withColumn("length", F.when(F.col("doc_id") == 7, F.col("length") - 1).otherwise(F.col("length"))))
+    assert len(right) == 40 and [d for d in right if right[d] != wrong[d]] == [7]
+    assert "Exchange" not in token_ids.read_payloads(stored, shards)._jdf.queryExecution().executedPlan().toString().split("FileScan")[-1]
