@@ -287,6 +287,7 @@ SHARED = 4
 #: What so many rows of a sample say is common stands last in the prefixes, and at most so many shingles of it are broadcast.
 SAMPLE = 10_000
 COMMON = 1 << 17
+BINS = 256
 #: Turns in which components are compared with a few members of the largest one at each prefix shingle before all pairs are: one, then ``PIVOTS``.
 TURNS = 2
 PIVOTS = 8
@@ -335,8 +336,19 @@ def prefix(shingles: np.ndarray, common: np.ndarray, place: np.ndarray, similar:
     return shingles[np.lexsort((shingles, rank))[: n - int(np.ceil(similar * n - 1e-9)) + least]]
 
 
+def bin_counts(hashes: np.ndarray) -> bytes:
+    """How many hashes fall into each of ``BINS``, up to 255."""
+    return np.minimum(np.bincount((hashes >> np.uint64(20)).astype(np.int64) & (BINS - 1), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def shared_at_most(a: np.ndarray, b: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Rows of bin counts to what the sets can have in common: in each bin the lesser count; no more than ``least``, the smaller size."""
+    full = ((a == 255) & (b == 255)).any(axis=1)
+    return np.where(full, least, np.minimum(least, np.minimum(a, b).sum(axis=1, dtype=np.int64)))
+
+
 def _features(docs: DataFrame, key: str, similar: float) -> DataFrame:
-    """``key``, doc_id, digest of the shingle set, fp, size, prefix of every row."""
+    """``key``, doc_id, digest of the shingle set, fp, size, bins, prefix of every row."""
     spark = docs.sparkSession
     every = max(1, docs.count() // SAMPLE)
     text = F.coalesce("text", F.lit("")).alias("text")
@@ -353,7 +365,7 @@ def _features(docs: DataFrame, key: str, similar: float) -> DataFrame:
     found = found[np.argsort(found[:, 0].copy().view(np.uint64))]
     common = spark.sparkContext.broadcast((found[:, 0].copy().view(np.uint64), found[:, 1].copy()))
 
-    @F.pandas_udf("digest binary, fp long, size int, prefix array<long>")
+    @F.pandas_udf("digest binary, fp long, size int, bins binary, prefix array<long>")
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         release()
         seen: dict[str, int] = {}
@@ -364,6 +376,7 @@ def _features(docs: DataFrame, key: str, similar: float) -> DataFrame:
                     "digest": [xxhash.xxh128_digest(x.astype("<u8").tobytes(), SEED) for x in sets],
                     "fp": np.array([majority(x) for x in sets], np.uint64).view(np.int64),
                     "size": np.array([len(x) for x in sets], np.int32),
+                    "bins": [bin_counts(x) for x in sets],
                     "prefix": [prefix(x, *common.value, similar).view(np.int64) for x in sets],
                 }
             )
@@ -394,7 +407,8 @@ def near_rows(docs: DataFrame, key: str, similar: float = SIMILAR, limit: int =
     whatever their fingerprints; none counts on an estimate.
 
     1. Rows of one shingle set are a class. The Gray index joins classes whose
-       fingerprints lie within ``limit`` bits, each link checked on the sets.
+       fingerprints lie within ``limit`` bits, each link checked on the sets, after
+       a bound on what they can share by the counts of their hashes in ``BINS``.
     2. Sets of similarity ``similar`` share ``SHARED`` shingles of their prefixes (a
        fifth of a set, rarest first). Shingles that stand in one prefix only
        are left out by a count over all. In ``turns`` turns every component is
@@ -412,7 +426,7 @@ def near_rows(docs: DataFrame, key: str, similar: float = SIMILAR, limit: int =
     """
     rows = _features(docs.select(key, "doc_id", "text"), key, similar)
     low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("at"))).alias("low")
-    classes = rows.groupBy("digest").agg(low, F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    classes = rows.groupBy("digest").agg(low, F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bins").alias("bins"), F.first("prefix").alias("prefix"))
     classes = store(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
     # shingles that stand in several prefixes
@@ -429,17 +443,32 @@ def near_rows(docs: DataFrame, key: str, similar: float = SIMILAR, limit: int =
     asked = prints.join(firsts, "fp").filter("id != first").select(F.col("first").alias("u"), F.col("id").alias("v"))
     asked = asked.unionByName(near.join(side("u", "a"), "u").join(side("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    # the sets of all classes that can be part of a pair
-    able = tokens.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") >= SHARED).select("id")
-    wanted = able.unionByName(asked.select(F.explode(F.array("u", "v")).alias("id"))).distinct()
-    sets = _whole_sets(docs, key, store(wanted.join(classes.select("id", F.col("low.at").alias("at")), "id"), "wanted"))
     roots = None
+    counts = store(classes.select("id", "size", "bins", F.col("low.at").alias("at")), "counts")
+
+    @F.pandas_udf("boolean")
+    def possible(a: pd.Series, b: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        if not len(a):
+            return pd.Series([], dtype=bool)
+        table = lambda c: np.frombuffer(b"".join(c), np.uint8).reshape(len(c), BINS)
+        x, y = x.to_numpy(np.int64), y.to_numpy(np.int64)
+        return pd.Series(shared_at_most(table(a), table(b), np.minimum(x, y)) >= similar / (1 + similar) * (x + y) - 1e-9)
+
+    def fits(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs of (u, v) that sizes and bin counts leave open."""
+        of = lambda at, x: counts.select(F.col("id").alias(at), F.col("size").alias(f"s{x}"), F.col("bins").alias(f"b{x}"))
+        both = pairs.join(of("u", "u"), "u").join(of("v", "v"), "v").filter(F.least("su", "sv") >= similar * F.greatest("su", "sv") - 1e-9)
+        return store(both.filter(possible("bu", "bv", "su", "sv")).select(*pairs.columns), name)
 
     def check(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs of (u, v) that are similar, on the whole sets."""
+        wanted = store(counts.select("id", "at").join(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id"), "wanted")
+        sets = _whole_sets(docs, key, wanted)
         both = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
         shared = F.size(F.array_intersect("a", "b"))
-        return store(both.filter(shared >= F.lit(similar) * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v"), name)
+        out = store(both.filter(shared >= F.lit(similar) * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v"), name)
+        drop(sets, wanted)
+        return out
 
     def join_up(new: DataFrame) -> DataFrame:
         """The roots after these links."""
@@ -450,45 +479,43 @@ def near_rows(docs: DataFrame, key: str, similar: float = SIMILAR, limit: int =
         return store(components(new), "roots").select(F.col("id").alias("rid"), "root")
 
     def rooted(df: DataFrame, at: str, name: str) -> DataFrame:
+        if roots is None:
+            return df.withColumn(name, F.col(at))
         return df.join(roots.select(F.col("rid").alias(at), F.col("root").alias(name)), at, "left").withColumn(name, F.coalesce(name, at))
 
     def enough(shared: Column, a: Column, b: Column) -> Column:
         """Whether sets of sizes a and b can be similar with at most so many in common."""
         return shared >= F.lit(similar / (1 + similar)) * (a + b) - 1e-9
 
-    def fits(pairs: DataFrame) -> DataFrame:
-        """Pairs that can be similar: what their prefixes share and all that lies beyond the longer rest is enough."""
-        of = lambda at, x: classes.select(F.col("id").alias(at), F.col("size").alias(f"s{x}"), F.col("prefix").alias(f"p{x}"))
-        both = pairs.join(of("u", "u"), "u").join(of("v", "v"), "v")
-        most = F.size(F.array_intersect("pu", "pv")) + F.greatest(F.col("su") - F.size("pu"), F.col("sv") - F.size("pv"))
-        return both.filter(enough(most, F.col("su"), F.col("sv"))).select("u", "v", "n")
-
-    roots = join_up(check(asked, "indexed"))
-    rest = lambda size, head: F.col(size) - F.col(head)
-    for turn in range(turns):
+    def closest(turn: int) -> DataFrame:
+        """Pairs (u, v) of a member of the largest component at a shingle with the member of another that shares most with it."""
         mine = rooted(tokens, "id", "root")
         members = mine.select("root", "id").distinct().groupBy("root").agg(F.count("*").alias("members"))
-        mine = mine.join(members, "root")
+        mine = mine.join(members, "root") if turn else mine.withColumn("members", F.lit(1))
         first = lambda j: F.min(F.struct(-F.col("members"), F.xxhash64("root", F.lit(turn)).alias("o"), "root", F.xxhash64("id", F.lit(j)).alias("i"), "id", "size", "head"))
-        several = range(1 if turn == 0 else PIVOTS)
+        several = range(PIVOTS if turn else 1)
         pivots = mine.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), *(first(j + PIVOTS * turn).alias(f"p{j}") for j in several)).filter("x != y")
         pivots = pivots.select("token", F.posexplode(F.array(*(f"p{j}" for j in several))).alias("j", "p"))
         pairs = mine.join(pivots, "token").filter("root != p.root").groupBy("root", "j", "id", F.col("p.id").alias("u")).agg(F.count("*").alias("n"), *(F.first(F.col(f"p.{c}")).alias(f"u{c}") for c in ("size", "head")), *(F.first(c).alias(c) for c in ("size", "head")))
-        pairs = pairs.filter(enough(F.col("n") + F.greatest(rest("size", "head"), rest("usize", "uhead")), F.col("size"), F.col("usize")))
-        best = pairs.groupBy("root", "j").agg(F.max(F.struct("n", "u", "id")).alias("b")).select("b.u", F.col("b.id").alias("v")).distinct()
-        roots = join_up(check(best, f"turn{turn}"))
+        rest = F.greatest(F.col("size") - F.col("head"), F.col("usize") - F.col("uhead"))
+        best = pairs.filter(enough(F.col("n") + rest, F.col("size"), F.col("usize"))).groupBy("root", "j").agg(F.max(F.struct("n", "u", "id")).alias("b"))
+        return best.select("b.u", F.col("b.id").alias("v")).distinct()
+
+    for turn in range(max(1, turns)):
+        asked = asked.unionByName(closest(turn)) if turn == 0 and turns else closest(turn) if turn else asked
+        roots = join_up(check(fits(asked, "open"), f"turn{turn}"))
     mine = store(rooted(tokens, "id", "root"), "mine")
     mixed = mine.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("token")
-    mine = mine.join(mixed, "token")
+    some = mine.join(mixed, "token")
     # of two sets, the smaller shares them within a shorter prefix, since it must share more of its own than ``similar``
     short = F.col("size") - F.ceil(F.lit(2 * similar / (1 + similar)) * F.col("size") - 1e-9) + SHARED
-    small = mine.filter(F.col("pos") < short).select("token", F.col("pos").alias("xu"), F.col("id").alias("u"), F.col("size").alias("su"), F.col("root").alias("ru"))
-    large = mine.select("token", F.col("pos").alias("xv"), F.col("id").alias("v"), F.col("size").alias("sv"), F.col("root").alias("rv"))
+    small = some.filter(F.col("pos") < short).select("token", F.col("pos").alias("xu"), F.col("id").alias("u"), F.col("size").alias("su"), F.col("root").alias("ru"))
+    large = some.select("token", F.col("pos").alias("xv"), F.col("id").alias("v"), F.col("size").alias("sv"), F.col("root").alias("rv"))
     order = (F.col("su") < F.col("sv")) | ((F.col("su") == F.col("sv")) & (F.col("u") < F.col("v")))
     most = F.least("xu", "xv") + F.least(F.col("su") - F.col("xu"), F.col("sv") - F.col("xv"))  # in common, before the shingle and from it on
     met = small.join(large, "token").filter(order & (F.col("ru") != F.col("rv")) & (F.col("su") >= similar * F.col("sv") - 1e-9) & enough(most, F.col("su"), F.col("sv")))
     met = met.groupBy("u", "v").agg(F.count("*").alias("n")).filter(F.col("n") >= SHARED)
-    left = store(fits(met), "left")
+    left = fits(met, "left")
     apart = rooted(rooted(left, "u", "ru"), "v", "rv")
     first = apart.groupBy(F.least("ru", "rv").alias("x"), F.greatest("ru", "rv").alias("y")).agg(F.max(F.struct("n", "u", "v")).alias("p")).select("p.u", "p.v")
     roots = join_up(check(first, "first"))
@@ -499,7 +526,7 @@ def near_rows(docs: DataFrame, key: str, similar: float = SIMILAR, limit: int =
     lowest = labels.groupBy("root").agg(F.min("low").alias("best"))
     labels = labels.join(lowest, "root").select("digest", F.col("best.doc_id").alias("component_id"), F.col("best.at").alias("keep"))
     out = store(rows.select(key, "doc_id", "digest").join(labels, "digest").select(key, "doc_id", "component_id", "keep"), "groups")
-    drop(rows, classes, often, tokens, firsts, near, sets, left)
+    drop(rows, classes, counts, often, tokens, mine, firsts, near, left)
     return out
 
 
