@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,13 +27,16 @@ def held_out(doc_id: Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(text, label) of at most ``rows`` labelled documents outside the held-out fold.
 
-    Labels that are null or disagree for one doc_id are left out. The sample is
-    at most ``rows`` ids, so that side of the join is broadcast.
+    Labels that are null or disagree for one doc_id are left out; of rows that
+    share a doc_id the least text counts. The sample is at most ``rows`` ids, so
+    that side of the join is broadcast.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("y1")).filter("y = y1")
     chosen = known.select(F.col("doc_id").alias("_id"), "y", F.xxhash64("doc_id").alias("_h")).orderBy("_h", "_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_h", "_id", F.coalesce("text", F.lit("")).alias("text"), "y")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    # rows that repeat under one doc_id give one: the text that comes first, so that the sample is bounded by rows
+    return found.groupBy("_h", "_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("_h", "_id", "text", "y")
 
 
 class Words:
@@ -58,9 +65,13 @@ def pair(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
 
 
 def release() -> None:
-    """Give up the words that the token encoder remembers in this Python worker, which a later stage may run in."""
+    """Hand back what earlier stages left in this Python worker: the words the token encoder remembers, and freed memory that the allocators keep."""
     if "loomgraph.llm.token_ids" in sys.modules:
         sys.modules["loomgraph.llm.token_ids"].encoder_for.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def sigmoid(x: float) -> float:

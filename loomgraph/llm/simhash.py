@@ -290,8 +290,8 @@ COMMON = 1 << 17
 BINS = 256
 #: Turns in which components are compared with a few members of the largest one at each prefix shingle before all pairs are: one, then ``PIVOTS``.
 TURNS = 2
-PIVOTS = 8
-CACHE = 400_000
+PIVOTS = 4
+CACHE = 150_000
 
 
 def shingle_set(text: str, seen: dict[str, int]) -> np.ndarray:
@@ -370,16 +370,12 @@ def _features(docs: DataFrame, key: str, similar: float) -> DataFrame:
         release()
         seen: dict[str, int] = {}
         for batch in batches:
-            sets = [shingle_set(t, seen) for t in batch]
-            yield pd.DataFrame(
-                {
-                    "digest": [xxhash.xxh128_digest(x.astype("<u8").tobytes(), SEED) for x in sets],
-                    "fp": np.array([majority(x) for x in sets], np.uint64).view(np.int64),
-                    "size": np.array([len(x) for x in sets], np.int32),
-                    "bins": [bin_counts(x) for x in sets],
-                    "prefix": [prefix(x, *common.value, similar).view(np.int64) for x in sets],
-                }
-            )
+            rows = []
+            for t in batch:  # no more than one whole set at a time
+                x = shingle_set(t, seen)
+                rows.append((xxhash.xxh128_digest(x.astype("<u8").tobytes(), SEED), majority(x), len(x), bin_counts(x), prefix(x, *common.value, similar).view(np.int64)))
+            digest, fp, size, bins, head = zip(*rows) if rows else ((),) * 5
+            yield pd.DataFrame({"digest": digest, "fp": np.array(fp, np.uint64).view(np.int64), "size": np.array(size, np.int32), "bins": bins, "prefix": head})
 
     return store(docs.select(key, "doc_id", features(text).alias("f")).select(key, "doc_id", "f.*"), "features")
 
