@@ -128,3 +128,13 @@ def community_graph(stats: DataFrame, membership: DataFrame) -> tuple[DataFrame,
     nodes = stats.select(cid.alias("id"), F.lit("Community").alias("label"), F.col("dominant_label").alias("name"), "cohesion", F.col("size").cast("int").alias("symbol_count"))
     kept = membership.join(stats.select("community"), "community", "left_semi")
     return nodes, kept.select(F.col("node").alias("src"), cid.alias("dst"), F.lit("MemberOf").alias("rel_table"), F.lit(1.0).alias("confidence"))
+
+
+def renumber(membership: DataFrame) -> DataFrame:
+    """(node, community, number): communities numbered from 0 by their least node.
+
+    One row a community enters the window without partitions.
+    """
+    first = membership.groupBy("community").agg(F.min("node").alias("least"))
+    number = (F.row_number().over(Window.orderBy("least")) - 1).cast("long").alias("number")
+    return membership.join(first.select("community", number), "community").select("node", "community", "number")

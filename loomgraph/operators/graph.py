@@ -56,7 +56,7 @@ def enclosing(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """Each call with the innermost symbol of its file whose lines hold it (null at top level): an equi-join on file, bounds as a filter, no cross product."""
     spans = symbols.select(F.col("file_path").alias("f"), F.col("id").alias("caller"), "start_line", "end_line")
     inside = (F.col("file_path") == F.col("f")) & F.col("line").between(F.col("start_line"), F.col("end_line"))
-    joined = calls.withColumn("call_ord", F.xxhash64(*calls.columns)).join(spans, inside, "left")
+    joined = calls.withColumn("call_ord", F.monotonically_increasing_id()).join(spans, inside, "left")
     by = [c for c in (*calls.columns, "call_ord")]
     best = joined.groupBy(*by).agg(F.max_by("caller", F.struct("start_line", -F.col("end_line"), "caller")).alias("caller"))
     return best.drop("call_ord")

@@ -11,14 +11,20 @@ from __future__ import annotations
 
 import ast
 import re
+import signal
+import threading
+from bisect import bisect_left
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from loomgraph import schema
 
-_C_FUNC = r"^[ \t]*(?!(?:return|else|new|if|for|while|switch|case|throw|do|typedef|using)\b)(?:[\w:<>,*&\[\]~]+[ \t*&]+)+(?P<name>[\w:~]+)[ \t]*\([^;{}]*\)[^;{}=]*\{"
+#: A file that takes longer is skipped with an error.
+FILE_SECONDS = 30.0
+_C_FUNC = r"^[ \t]*(?!(?:return|else|new|if|for|while|switch|case|throw|do|typedef|using)\b)(?:[\w:<>,\[\]~]++[ \t*&]++)+(?P<name>[\w:~]+)[ \t]*\([^;{}]*\)[^;{}=]*\{"
 _JS = [
     ("Function", r"\bfunction\s*\*?\s*(?P<name>[\w$]+)\s*\([^)]*\)[^{;]*\{"),
     ("Function", r"\b(?:const|let|var)\s+(?P<name>[\w$]+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*(?::[^=]+)?=>\s*\{"),
@@ -82,21 +88,21 @@ def parse_python(path: str, text: str) -> tuple[list, list, list]:
     return symbols, imports, calls
 
 
-def _close(text: str, at: int) -> int:
-    depth = 0
-    for i in range(at, len(text)):
-        if text[i] == "{":
-            depth += 1
-        elif text[i] == "}":
-            depth -= 1
-            if not depth:
-                return i
-    return len(text) - 1
+def _closes(text: str) -> dict[int, int]:
+    """The place of each opening brace to that of its closing one, in one pass."""
+    out, waiting = {}, []
+    for m in re.finditer(r"[{}]", text):
+        if m[0] == "{":
+            waiting.append(m.start())
+        elif waiting:
+            out[waiting.pop()] = m.start()
+    return out
 
 
 def parse_braces(path: str, language: str, text: str) -> tuple[list, list, list]:
     bare = _QUOTED.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
-    line = lambda at: text.count("\n", 0, at) + 1
+    breaks, closes = [m.start() for m in re.finditer("\n", text)], _closes(bare)
+    line = lambda at: bisect_left(breaks, at) + 1
     found: dict[int, tuple] = {}
     for kind, rule in RULES[language]:
         for m in re.finditer(rule, bare, re.M):
@@ -108,7 +114,7 @@ def parse_braces(path: str, language: str, text: str) -> tuple[list, list, list]
                 end = re.compile(rf"^[ \t]{{{indent}}}end\b", re.M).search(bare, m.end())
                 stop = end.end() - 1 if end else len(text) - 1
             else:
-                stop = _close(bare, m.end() - 1)
+                stop = closes.get(m.end() - 1, len(text) - 1)
             begin = m.start() + len(m[0]) - len(m[0].lstrip())
             found[at] = (kind, m["name"], begin, stop)
     symbols, holders = [], [(b, e) for k, _, b, e in found.values() if k in ("Class", "Interface", "Trait", "Struct")]
@@ -125,11 +131,32 @@ def parse_braces(path: str, language: str, text: str) -> tuple[list, list, list]
     return symbols, imports, calls
 
 
-def parse_file(path: str, language: str, text: str) -> tuple:
+@contextmanager
+def _at_most(seconds: float) -> Iterator[None]:
+    """TimeoutError after so long; only a main thread, as a Python worker's, can be interrupted."""
+    if not seconds or threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def stop(*_) -> None:
+        raise TimeoutError(f"over {seconds} s")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def parse_file(path: str, language: str, text: str, seconds: float = FILE_SECONDS) -> tuple:
+    """One row; a file that cannot be parsed, or not in ``seconds``, has no symbols and says why."""
     try:
-        parts = parse_python(path, text) if language == "python" else parse_braces(path, language, text)
+        with _at_most(seconds):
+            parts = parse_python(path, text) if language == "python" else parse_braces(path, language, text)
         return (path, language, *parts, None)
-    except (SyntaxError, ValueError, RecursionError, KeyError) as why:
+    except (SyntaxError, ValueError, RecursionError, KeyError, TimeoutError) as why:
         return (path, language, [], [], [], f"{type(why).__name__}: {why}")
 
 

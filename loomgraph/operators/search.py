@@ -72,6 +72,13 @@ def _nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str, embedding
     return local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(query_key, key, "distance", "rank")
 
 
+def insert_vectors(vectors: DataFrame, new: DataFrame, key: str = "node_id", chunk: str | None = None, replace: bool = True) -> DataFrame:
+    """The vectors with new ones added. With ``replace`` all old rows of a (key, chunk) that comes again go; else rows are appended as they are."""
+    on = [key, chunk] if chunk else [key]
+    kept = vectors.join(new.select(*on).distinct(), on, "left_anti") if replace else vectors
+    return kept.select(*vectors.columns).unionByName(new.select(*vectors.columns))
+
+
 def remove_nodes(vectors: DataFrame, gone: DataFrame, key: str = "node_id") -> DataFrame:
     return vectors.join(gone.select(key).distinct(), key, "left_anti")
 
@@ -98,6 +105,20 @@ def hybrid(nodes: DataFrame, vectors: DataFrame, query: str, embedding: list[flo
     return rrf(words, near, k, key)
 
 
+def dispatch(nodes: DataFrame, vectors: DataFrame | None, query: str, columns: list[str], semantic: bool = False, embedding: list[float] | None = None, limit: int | None = None, key: str = "node_id") -> DataFrame:
+    """One entry for searches: hybrid where ``semantic`` is asked for and an embedding is given, else the keyword list; 10 rows unless said. Columns key, score, sources."""
+    limit = 10 if limit is None else limit
+    if semantic and embedding and vectors is not None:
+        return hybrid(nodes, vectors, query, embedding, limit, columns, key).select(key, "score", "sources")
+    found = contains_search(nodes, query, columns, key, limit)
+    return found.select(key, F.lit(None).cast("double").alias("score"), F.lit("bm25").alias("sources"))
+
+
+def preview(df: DataFrame, column: str = "content", chars: int = 2000) -> DataFrame:
+    """``column`` cut to its first characters, for display alone."""
+    return df.withColumn(column, F.substring(column, 1, chars))
+
+
 def bm25(docs: DataFrame, query: str, k: int, key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Okapi BM25 over lower-case words; term frequencies of the query's words alone are kept, in one pass and no explode."""
     terms = sorted(set(query.lower().split()))

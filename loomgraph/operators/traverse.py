@@ -78,6 +78,18 @@ def process_nodes(steps: DataFrame, nodes: DataFrame) -> DataFrame:
     return named.select(F.col("process_id").alias("id"), F.lit("Process").alias("label"), name.alias("name"), T.process_type(kind, name).alias("process_type"), "step_count", F.col("entry").alias("entry_point_id"), "terminal_id")
 
 
+def first_meta(rows: DataFrame) -> DataFrame:
+    """(id, name, type, seq) to the name and type each id was first seen with."""
+    return rows.groupBy("id").agg(F.min_by(F.struct("name", "type"), "seq").alias("m")).select("id", "m.name", "m.type")
+
+
+def step_meta(steps: DataFrame, meta: DataFrame) -> DataFrame:
+    """Steps with the name and type of their node; "unknown" and "CodeElement" where it has none."""
+    known = meta.select(F.col("id").alias("node"), F.col("name").alias("node_name"), F.col("type").alias("node_type"))
+    joined = steps.join(known, "node", "left")
+    return joined.withColumn("node_name", F.coalesce("node_name", F.lit("unknown"))).withColumn("node_type", F.coalesce("node_type", F.lit("CodeElement")))
+
+
 def process_edges(steps: DataFrame) -> DataFrame:
     into = steps.filter("step = 1").select(F.col("entry").alias("src"), F.col("process_id").alias("dst"), F.lit("EntryPointOf").alias("rel_table"), F.lit(None).cast("int").alias("step"), F.lit(1.0).alias("confidence"))
     return into.unionByName(steps.select(F.col("node").alias("src"), F.col("process_id").alias("dst"), F.lit("StepInProcess").alias("rel_table"), F.col("step").cast("int"), "confidence"))

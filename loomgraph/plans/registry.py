@@ -535,3 +535,45 @@ def embed_nodes(spark, sf):
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark, sf):
     return watch.event_windows(t(spark, sf, "events")).withColumn("total", F.round("total", 4))
+
+
+# Index upkeep, dispatch, metadata, numbering
+
+
+@query("SELECT vec_id % 2 = 0 AS again, count(*)::BIGINT AS n, count(DISTINCT vec_id)::BIGINT AS ids, round(sum(CASE WHEN vec_id % 2 = 0 THEN 2 ELSE 1 END * embedding[1]::DOUBLE), 4) AS first_sum FROM embeddings GROUP BY ALL")
+def vector_insert(spark, sf):
+    v = t(spark, sf, "embeddings").select("vec_id", "embedding")
+    new = v.filter("vec_id % 2 = 0").withColumn("embedding", F.transform("embedding", lambda x: x * 2))
+    made = search.insert_vectors(v, new, "vec_id")
+    return made.groupBy((F.col("vec_id") % 2 == 0).alias("again")).agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("ids"), F.round(F.sum(F.col("embedding")[0].cast("double")), 4).alias("first_sum"))
+
+
+@query("SELECT doc_id AS node_id, NULL::DOUBLE AS score, 'bm25' AS sources FROM documents WHERE contains(text, 'the') ORDER BY doc_id LIMIT 10")
+def search_dispatch_keyword(spark, sf):
+    docs, v, q = _lists(spark, sf)
+    return search.dispatch(docs, v, WORD, ["text"], semantic=True)
+
+
+@query(_RRF + " ORDER BY score DESC, node_id LIMIT 10")
+def search_dispatch_semantic(spark, sf):
+    docs, v, q = _lists(spark, sf)
+    return search.dispatch(docs, v, WORD, ["text"], semantic=True, embedding=q).withColumn("score", F.round("score", 9))
+
+
+@query("SELECT doc_id, left(text, 2000) AS text FROM documents")
+def content_preview(spark, sf):
+    return search.preview(t(spark, sf, "documents").select("doc_id", "text"), "text")
+
+
+@query("""
+WITH m AS (SELECT l_partkey AS id, min_by(l_returnflag, l_orderkey * 100 + l_linenumber) AS name, min_by(l_linestatus, l_orderkey * 100 + l_linenumber) AS type FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY 1)
+SELECT p_partkey AS node, coalesce(name, 'unknown') AS node_name, coalesce(type, 'CodeElement') AS node_type FROM part LEFT JOIN m ON p_partkey = id
+""")
+def step_metadata(spark, sf):
+    seen = t(spark, sf, "lineitem").filter("l_partkey % 3 = 0").select(F.col("l_partkey").alias("id"), F.col("l_returnflag").alias("name"), F.col("l_linestatus").alias("type"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"))
+    return traverse.step_meta(t(spark, sf, "part").select(F.col("p_partkey").alias("node")), traverse.first_meta(seen))
+
+
+@query("SELECT c_custkey AS node, c_mktsegment AS community, (dense_rank() OVER (ORDER BY least) - 1)::BIGINT AS number FROM (SELECT c_custkey, c_mktsegment, min(c_custkey) OVER (PARTITION BY c_mktsegment) AS least FROM customer)")
+def community_numbers(spark, sf):
+    return community.renumber(t(spark, sf, "customer").select(F.col("c_custkey").alias("node"), F.col("c_mktsegment").alias("community")))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph import schema
 from loomgraph.functions import text as T
+from loomgraph.shared import drop, store
+
+_ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -54,3 +58,54 @@ def delete_snapshot(spark: SparkSession, root: str, repo: str, names: list[str])
     for name in names:
         path = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/repo={repo}")
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def save_state(hashes: DataFrame, root: str, repo: str) -> None:
+    """Keep a repository's (path, hash) and the time, so that the next run can compare."""
+    save_snapshot({"hashes": hashes.select("path", "hash").withColumn("saved_at", F.current_timestamp())}, root, repo)
+
+
+def load_state(spark: SparkSession, root: str, repo: str) -> DataFrame:
+    """(path, hash) as last saved; none for a repository never saved."""
+    try:
+        return load_snapshot(spark, root, repo, "hashes").select("path", "hash")
+    except AnalysisException as why:
+        if why.getCondition() not in _ABSENT:
+            raise
+        return spark.createDataFrame([], "path string, hash string")
+
+
+class KeyValues:
+    """A keyed table of strings by store name: put, get, get_all, delete. A put rewrites its store alone."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root
+
+    def get_all(self, name: str) -> DataFrame:
+        try:
+            return load_snapshot(self.spark, self.root, name, "values").select("key", "value")
+        except AnalysisException as why:
+            if why.getCondition() not in _ABSENT:
+                raise
+            return self.spark.createDataFrame([], "key string, value string")
+
+    def get(self, name: str, key: str) -> str | None:
+        row = self.get_all(name).filter(F.col("key") == key).first()
+        return row["value"] if row else None
+
+    def _write(self, name: str, rows: DataFrame) -> None:
+        kept = store(rows, "values")  # the table that is read is the one written over
+        save_snapshot({"values": kept}, self.root, name)
+        drop(kept)
+
+    def put(self, name: str, rows: DataFrame) -> None:
+        """Add (key, value) rows; a key that is there is replaced."""
+        new = rows.select("key", "value")
+        self._write(name, self.get_all(name).join(new.select("key"), "key", "left_anti").unionByName(new))
+
+    def delete(self, name: str, key: str) -> None:
+        left = store(self.get_all(name).filter(F.col("key") != key), "left")
+        delete_snapshot(self.spark, self.root, name, ["values"])
+        if not left.isEmpty():
+            save_snapshot({"values": left}, self.root, name)
+        drop(left)

@@ -152,3 +152,42 @@ def test_watch(spark, tmp_path):
 def test_sessions(spark):
     ev = spark.createDataFrame([(1, "2026-01-01 00:00:00", "x", 1.0), (1, "2026-01-01 00:10:00", "x", 1.0), (1, "2026-01-01 02:00:00", "x", 1.0)], "user_id long, ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
     assert sorted(r["n"] for r in watch.event_sessions(ev).collect()) == [1, 2]
+
+
+def test_parser_is_quick_on_hostile_lines_and_gives_up_in_time():
+    import time
+
+    from loomgraph.operators import parse
+
+    for hard in ("*" * 10_000, "a " * 10_000, "int " + "*&" * 5_000, "{" * 10_000):
+        for language in ("c", "cpp", "csharp", "java"):
+            began = time.perf_counter()
+            assert len(parse.parse_file("x", language, hard)) == 6 and time.perf_counter() - began < 3
+    found = parse.parse_file("x.c", "c", "static int *const f(int a)\n{\n  if (a) { g(a); }\n  return 1;\n}\n")
+    assert [(x[1], x[2]) for x in found[2]] == [("f", "Function")] and found[4] == [("g", 3)]
+    slow = parse.parse_file("x.c", "c", "int f(a)\n" * 20_000, seconds=0.001)
+    assert slow[-1].startswith("TimeoutError")
+
+
+def test_equal_calls_on_one_line_stay_apart(spark):
+    calls = spark.createDataFrame([("a.py", "g", 3)] * 2 + [("a.py", "g", 9)], "file_path string, target string, line int")
+    symbols = spark.createDataFrame([("a.py", "F:f", 1, 5)], "file_path string, id string, start_line int, end_line int")
+    assert sorted(str(r["caller"]) for r in graph.enclosing(calls, symbols).collect()) == ["F:f", "F:f", "None"]
+
+
+def test_state_and_key_values(spark, tmp_path):
+    from loomgraph.sources import files
+
+    root = f"file://{tmp_path}"
+    assert files.load_state(spark, root, "r").count() == 0
+    files.save_state(spark.createDataFrame([("a", "1"), ("b", "2")], "path string, hash string"), root, "r")
+    files.save_state(spark.createDataFrame([("a", "9")], "path string, hash string"), root, "s")
+    assert sorted(map(tuple, files.load_state(spark, root, "r").collect())) == [("a", "1"), ("b", "2")]
+    kv = files.KeyValues(spark, f"{root}/kv")
+    assert kv.get("n", "x") is None
+    kv.put("n", spark.createDataFrame([("x", "1"), ("y", "2")], "key string, value string"))
+    kv.put("n", spark.createDataFrame([("x", "3")], "key string, value string"))
+    assert (kv.get("n", "x"), kv.get("n", "y"), kv.get("m", "x")) == ("3", "2", None)
+    kv.delete("n", "x")
+    kv.delete("n", "y")
+    assert kv.get_all("n").count() == 0
