@@ -291,6 +291,8 @@ BINS = 256
 #: Turns in which components are compared with a few members of the largest one at each prefix shingle before all pairs are: one, then ``PIVOTS``.
 TURNS = 2
 PIVOTS = 4
+#: Shingles before one in a prefix that a pair is told by to have met already; more of them mean fewer repeats of a pair, not other pairs.
+BEFORE = 4
 CACHE = 150_000
 
 
@@ -411,8 +413,10 @@ def near_rows(docs: DataFrame, key: str, similar: float = SIMILAR, limit: int =
        compared with a few members of the largest component at its shingles, those
        that share most with it, so that a large group of copies becomes one component
        in linear work.
-    3. All pairs of different components that share enough are compared, first the
-       one that shares most for each two components, then the rest.
+    3. All pairs of different components that can be similar are compared, first the
+       one that can share most for each two components, then the rest. A pair is
+       found at the first prefix shingle that both have, where all that they have in
+       common must lie behind it; it is left out at later ones.
 
     ``key`` identifies a row, in any type, the same whenever it is read. A null
     doc_id comes after all others; among equal ones the row of smallest key is
@@ -442,19 +446,20 @@ def near_rows(docs: DataFrame, key: str, similar: float = SIMILAR, limit: int =
     roots = None
     counts = store(classes.select("id", "size", "bins", F.col("low.at").alias("at")), "counts")
 
-    @F.pandas_udf("boolean")
-    def possible(a: pd.Series, b: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+    @F.pandas_udf("long")
+    def at_most(a: pd.Series, b: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
         if not len(a):
-            return pd.Series([], dtype=bool)
+            return pd.Series([], dtype="int64")
         table = lambda c: np.frombuffer(b"".join(c), np.uint8).reshape(len(c), BINS)
-        x, y = x.to_numpy(np.int64), y.to_numpy(np.int64)
-        return pd.Series(shared_at_most(table(a), table(b), np.minimum(x, y)) >= similar / (1 + similar) * (x + y) - 1e-9)
+        return pd.Series(shared_at_most(table(a), table(b), np.minimum(x.to_numpy(np.int64), y.to_numpy(np.int64))))
+
+    at_most = at_most.asNondeterministic()  # else it would run once for the filter and once for the column
 
     def fits(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs of (u, v) that sizes and bin counts leave open."""
+        """(u, v, n) for the pairs that sizes and bin counts leave open, n what they can have in common."""
         of = lambda at, x: counts.select(F.col("id").alias(at), F.col("size").alias(f"s{x}"), F.col("bins").alias(f"b{x}"))
         both = pairs.join(of("u", "u"), "u").join(of("v", "v"), "v").filter(F.least("su", "sv") >= similar * F.greatest("su", "sv") - 1e-9)
-        return store(both.filter(possible("bu", "bv", "su", "sv")).select(*pairs.columns), name)
+        return store(both.withColumn("n", at_most("bu", "bv", "su", "sv")).filter(enough(F.col("n"), F.col("su"), F.col("sv"))).select("u", "v", "n"), name)
 
     def check(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs of (u, v) that are similar, on the whole sets."""
@@ -503,14 +508,17 @@ def near_rows(docs: DataFrame, key: str, similar: float = SIMILAR, limit: int =
     mine = store(rooted(tokens, "id", "root"), "mine")
     mixed = mine.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("token")
     some = mine.join(mixed, "token")
-    # of two sets, the smaller shares them within a shorter prefix, since it must share more of its own than ``similar``
-    short = F.col("size") - F.ceil(F.lit(2 * similar / (1 + similar)) * F.col("size") - 1e-9) + SHARED
-    small = some.filter(F.col("pos") < short).select("token", F.col("pos").alias("xu"), F.col("id").alias("u"), F.col("size").alias("su"), F.col("root").alias("ru"))
-    large = some.select("token", F.col("pos").alias("xv"), F.col("id").alias("v"), F.col("size").alias("sv"), F.col("root").alias("rv"))
+    # a pair counts at the first shingle that both have: no shingle before it is common, so all that is common lies behind it in both
+    behind = lambda part: F.col("pos") <= F.col("size") - F.ceil(F.lit(part) * F.col("size") - 1e-9)
+    by_place = Window.partitionBy("id").orderBy("pos")
+    some = some.withColumn("before", F.array_compact(F.array(*(F.lag("token", j).over(by_place) for j in range(1, BEFORE + 1)))))
+    side = lambda x, at: (F.col("pos").alias(f"x{x}"), F.col("id").alias(at), F.col("size").alias(f"s{x}"), F.col("root").alias(f"r{x}"), F.col("before").alias(f"e{x}"))
+    small = some.filter(behind(2 * similar / (1 + similar))).select("token", *side("u", "u"))
+    large = some.filter(behind(similar)).select("token", *side("v", "v"))
     order = (F.col("su") < F.col("sv")) | ((F.col("su") == F.col("sv")) & (F.col("u") < F.col("v")))
-    most = F.least("xu", "xv") + F.least(F.col("su") - F.col("xu"), F.col("sv") - F.col("xv"))  # in common, before the shingle and from it on
-    met = small.join(large, "token").filter(order & (F.col("ru") != F.col("rv")) & (F.col("su") >= similar * F.col("sv") - 1e-9) & enough(most, F.col("su"), F.col("sv")))
-    met = met.groupBy("u", "v").agg(F.count("*").alias("n")).filter(F.col("n") >= SHARED)
+    most = F.least(F.col("su") - F.col("xu"), F.col("sv") - F.col("xv"))
+    met = small.join(large, "token").filter(order & (F.col("ru") != F.col("rv")) & (F.col("su") >= similar * F.col("sv") - 1e-9) & enough(most, F.col("su"), F.col("sv")) & ~F.arrays_overlap("eu", "ev"))
+    met = met.select("u", "v").distinct()
     left = fits(met, "left")
     apart = rooted(rooted(left, "u", "ru"), "v", "rv")
     first = apart.groupBy(F.least("ru", "rv").alias("x"), F.greatest("ru", "rv").alias("y")).agg(F.max(F.struct("n", "u", "v")).alias("p")).select("p.u", "p.v")
