@@ -28,6 +28,7 @@ rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -343,6 +344,12 @@ def bin_counts(hashes: np.ndarray) -> bytes:
     return np.minimum(np.bincount((hashes >> np.uint64(20)).astype(np.int64) & (BINS - 1), minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
+def odd_bins(hashes: np.ndarray) -> np.ndarray:
+    """256 bits in four numbers: in which of ``BINS`` an odd number of hashes lies. Two sets differ in as many members at least as in bits."""
+    odd = np.bincount((hashes >> np.uint64(20)).astype(np.int64) & (BINS - 1), minlength=BINS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def shared_at_most(a: np.ndarray, b: np.ndarray, least: np.ndarray) -> np.ndarray:
     """Rows of bin counts to what the sets can have in common: in each bin the lesser count; no more than ``least``, the smaller size."""
     full = ((a == 255) & (b == 255)).any(axis=1)
@@ -350,7 +357,7 @@ def shared_at_most(a: np.ndarray, b: np.ndarray, least: np.ndarray) -> np.ndarra
 
 
 def _features(docs: DataFrame, key: str, similar: float) -> DataFrame:
-    """``key``, doc_id, digest of the shingle set, fp, size, bins, prefix of every row."""
+    """``key``, doc_id, digest of the shingle set, fp, size, bins, odd bins, prefix of every row."""
     spark = docs.sparkSession
     every = max(1, docs.count() // SAMPLE)
     text = F.coalesce("text", F.lit("")).alias("text")
@@ -367,7 +374,7 @@ def _features(docs: DataFrame, key: str, similar: float) -> DataFrame:
     found = found[np.argsort(found[:, 0].copy().view(np.uint64))]
     common = spark.sparkContext.broadcast((found[:, 0].copy().view(np.uint64), found[:, 1].copy()))
 
-    @F.pandas_udf("digest binary, fp long, size int, bins binary, prefix array<long>")
+    @F.pandas_udf("digest binary, fp long, size int, bins binary, odd array<long>, prefix array<long>")
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         release()
         seen: dict[str, int] = {}
@@ -375,9 +382,9 @@ def _features(docs: DataFrame, key: str, similar: float) -> DataFrame:
             rows = []
             for t in batch:  # no more than one whole set at a time
                 x = shingle_set(t, seen)
-                rows.append((xxhash.xxh128_digest(x.astype("<u8").tobytes(), SEED), majority(x), len(x), bin_counts(x), prefix(x, *common.value, similar).view(np.int64)))
-            digest, fp, size, bins, head = zip(*rows) if rows else ((),) * 5
-            yield pd.DataFrame({"digest": digest, "fp": np.array(fp, np.uint64).view(np.int64), "size": np.array(size, np.int32), "bins": bins, "prefix": head})
+                rows.append((xxhash.xxh128_digest(x.astype("<u8").tobytes(), SEED), majority(x), len(x), bin_counts(x), odd_bins(x), prefix(x, *common.value, similar).view(np.int64)))
+            digest, fp, size, bins, odd, head = zip(*rows) if rows else ((),) * 6
+            yield pd.DataFrame({"digest": digest, "fp": np.array(fp, np.uint64).view(np.int64), "size": np.array(size, np.int32), "bins": bins, "odd": odd, "prefix": head})
 
     return store(docs.select(key, "doc_id", features(text).alias("f")).select(key, "doc_id", "f.*"), "features")
 
@@ -416,7 +423,8 @@ def near_rows(docs: DataFrame, key: str, similar: float = SIMILAR, limit: int =
     3. All pairs of different components that can be similar are compared, first the
        one that can share most for each two components, then the rest. A pair is
        found at the first prefix shingle that both have, where all that they have in
-       common must lie behind it; it is left out at later ones.
+       common must lie behind it, unless the parities of their ``BINS`` differ in
+       more bits than similar sets can; it is left out at later ones.
 
     ``key`` identifies a row, in any type, the same whenever it is read. A null
     doc_id comes after all others; among equal ones the row of smallest key is
@@ -426,7 +434,7 @@ def near_rows(docs: DataFrame, key: str, similar: float = SIMILAR, limit: int =
     """
     rows = _features(docs.select(key, "doc_id", "text"), key, similar)
     low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("at"))).alias("low")
-    classes = rows.groupBy("digest").agg(low, F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bins").alias("bins"), F.first("prefix").alias("prefix"))
+    classes = rows.groupBy("digest").agg(low, F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bins").alias("bins"), F.first("odd").alias("odd"), F.first("prefix").alias("prefix"))
     classes = store(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
     # shingles that stand in several prefixes
@@ -444,7 +452,7 @@ def near_rows(docs: DataFrame, key: str, similar: float = SIMILAR, limit: int =
     asked = asked.unionByName(near.join(side("u", "a"), "u").join(side("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     roots = None
-    counts = store(classes.select("id", "size", "bins", F.col("low.at").alias("at")), "counts")
+    counts = store(classes.select("id", "size", "bins", "odd", F.col("low.at").alias("at")), "counts")
 
     @F.pandas_udf("long")
     def at_most(a: pd.Series, b: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
@@ -507,17 +515,19 @@ def near_rows(docs: DataFrame, key: str, similar: float = SIMILAR, limit: int =
         roots = join_up(check(fits(asked, "open"), f"turn{turn}"))
     mine = store(rooted(tokens, "id", "root"), "mine")
     mixed = mine.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("token")
-    some = mine.join(mixed, "token")
+    some = mine.join(mixed, "token").join(counts.select("id", "odd"), "id")
     # a pair counts at the first shingle that both have: no shingle before it is common, so all that is common lies behind it in both
     behind = lambda part: F.col("pos") <= F.col("size") - F.ceil(F.lit(part) * F.col("size") - 1e-9)
     by_place = Window.partitionBy("id").orderBy("pos")
     some = some.withColumn("before", F.array_compact(F.array(*(F.lag("token", j).over(by_place) for j in range(1, BEFORE + 1)))))
-    side = lambda x, at: (F.col("pos").alias(f"x{x}"), F.col("id").alias(at), F.col("size").alias(f"s{x}"), F.col("root").alias(f"r{x}"), F.col("before").alias(f"e{x}"))
+    side = lambda x, at: (F.col("pos").alias(f"x{x}"), F.col("id").alias(at), F.col("size").alias(f"s{x}"), F.col("root").alias(f"r{x}"), F.col("before").alias(f"e{x}"), F.col("odd").alias(f"o{x}"))
     small = some.filter(behind(2 * similar / (1 + similar))).select("token", *side("u", "u"))
     large = some.filter(behind(similar)).select("token", *side("v", "v"))
     order = (F.col("su") < F.col("sv")) | ((F.col("su") == F.col("sv")) & (F.col("u") < F.col("v")))
     most = F.least(F.col("su") - F.col("xu"), F.col("sv") - F.col("xv"))
-    met = small.join(large, "token").filter(order & (F.col("ru") != F.col("rv")) & (F.col("su") >= similar * F.col("sv") - 1e-9) & enough(most, F.col("su"), F.col("sv")) & ~F.arrays_overlap("eu", "ev"))
+    apart = reduce(lambda a, b: a + b, (F.bit_count(F.col("ou")[i].bitwiseXOR(F.col("ov")[i])) for i in range(BINS // 64)))
+    alike = apart <= F.lit((1 - similar) / (1 + similar)) * (F.col("su") + F.col("sv")) + 1e-9
+    met = small.join(large, "token").filter(order & (F.col("ru") != F.col("rv")) & (F.col("su") >= similar * F.col("sv") - 1e-9) & enough(most, F.col("su"), F.col("sv")) & alike & ~F.arrays_overlap("eu", "ev"))
     met = met.select("u", "v").distinct()
     left = fits(met, "left")
     apart = rooted(rooted(left, "u", "ru"), "v", "rv")
