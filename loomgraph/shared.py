@@ -41,16 +41,26 @@ def _sweep() -> None:
                 _delete(spark, path)
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def _in_batches(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in a copy of its session that hands Python at most ``rows`` rows at once; the session itself keeps its setting."""
+    spark = df.sparkSession
+    copy = df._jdf.sparkSession().cloneSession()
+    copy.conf().set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    made = spark.sparkContext._jvm.org.apache.spark.sql.classic.Dataset.ofRows(copy, df._jdf.logicalPlan())
+    return DataFrame(made, spark)
+
+
+def store(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return a scan of it.
 
     The files outlive any executor, so a lost executor costs no recomputation
     of what stands above them. They go when the application ends, or earlier by
-    ``drop``.
+    ``drop``. ``batch_rows`` bounds the rows that lie in a Python worker and its
+    buffers at once, for plans that send whole texts there; all rows are taken.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    (_in_batches(df, batch_rows) if batch_rows else df).write.option("compression", "zstd").parquet(path)
     _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
