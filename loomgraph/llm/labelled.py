@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 import sys
 import zlib
@@ -74,5 +75,17 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def tidy(work):
+    """A function from batches to batches that leaves no freed memory in the Python worker before or after its task."""
+
+    @functools.wraps(work)
+    def tidied(batches):
+        release()
+        yield from work(batches)
+        release()
+
+    return tidied
+
+
 def sigmoid(x: float) -> float:
     return float(1.0 / (1.0 + np.exp(-min(max(x, -35.0), 35.0))))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.labelled import SAMPLE_ROWS, Words, held_out, labelled_sample, release, sigmoid
+from loomgraph.llm.labelled import SAMPLE_ROWS, Words, held_out, labelled_sample, sigmoid, tidy
 
 WORD_SLOTS = 1 << 16
 STEPS = 12
@@ -117,8 +117,8 @@ def with_score(docs: DataFrame, model: bytes | None, text: str = "text") -> Data
     loaded: dict[str, tuple] = {}
 
     @F.pandas_udf("double")
+    @tidy
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        release()
         words = Words()
         if shared.value is not None and not loaded:
             m = np.load(io.BytesIO(shared.value))

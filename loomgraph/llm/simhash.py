@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.labelled import release
+from loomgraph.llm.labelled import tidy
 from loomgraph.shared import drop, sieve, store
 
 SEED = 42
@@ -68,8 +68,8 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id and ``fp``, the fingerprint as a signed long, for every row."""
 
     @F.pandas_udf("long")
+    @tidy
     def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        release()
         for batch in batches:
             yield pd.Series(np.array([fingerprint(t, width) for t in batch], np.uint64).view(np.int64))
 
@@ -295,6 +295,8 @@ PIVOTS = 4
 #: Shingles before one in a prefix that a pair is told by to have met already; more of them mean fewer repeats of a pair, not other pairs.
 BEFORE = 4
 CACHE = 150_000
+#: Whole texts that lie in a Python worker at once; the work and the result are the same for any number.
+BATCH_ROWS = 500
 
 
 def shingle_set(text: str, seen: dict[str, int]) -> np.ndarray:
@@ -362,21 +364,22 @@ def _features(docs: DataFrame, key: str, similar: float) -> DataFrame:
     every = max(1, docs.count() // SAMPLE)
     text = F.coalesce("text", F.lit("")).alias("text")
 
+    @tidy
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        release()
         for batch in batches:
             made = [shingle_set(t, {}) for t in batch["text"]]
             yield pd.DataFrame({"token": np.concatenate([*made, np.zeros(0, np.uint64)]).view(np.int64)})
 
     sample = docs.filter(F.pmod(F.xxhash64(key), F.lit(every)) == 0).select(text).mapInPandas(shingles, "token long")
-    often = sample.groupBy("token").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "token").limit(COMMON)
+    often = store(sample.groupBy("token").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "token").limit(COMMON), "common", BATCH_ROWS)
     found = np.array([tuple(r) for r in often.collect()], np.int64).reshape(-1, 2)
+    drop(often)
     found = found[np.argsort(found[:, 0].copy().view(np.uint64))]
     common = spark.sparkContext.broadcast((found[:, 0].copy().view(np.uint64), found[:, 1].copy()))
 
     @F.pandas_udf("digest binary, fp long, size int, bins binary, odd array<long>, prefix array<long>")
+    @tidy
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        release()
         seen: dict[str, int] = {}
         for batch in batches:
             rows = []
@@ -386,22 +389,22 @@ def _features(docs: DataFrame, key: str, similar: float) -> DataFrame:
             digest, fp, size, bins, odd, head = zip(*rows) if rows else ((),) * 6
             yield pd.DataFrame({"digest": digest, "fp": np.array(fp, np.uint64).view(np.int64), "size": np.array(size, np.int32), "bins": bins, "odd": odd, "prefix": head})
 
-    return store(docs.select(key, "doc_id", features(text).alias("f")).select(key, "doc_id", "f.*"), "features")
+    return store(docs.select(key, "doc_id", features(text).alias("f")).select(key, "doc_id", "f.*"), "features", BATCH_ROWS)
 
 
 def _whole_sets(docs: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """(id, shingles) for ``wanted`` (id, at), from the text of the row whose key is ``at``; only texts that a sieve lets through are shuffled."""
 
     @F.pandas_udf("array<long>")
+    @tidy
     def whole(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        release()
         seen: dict[str, int] = {}
         for batch in batches:
             yield pd.Series([shingle_set(t, seen).view(np.int64) for t in batch])
 
     some = sieve(docs.select(key, F.coalesce("text", F.lit("")).alias("text")), F.xxhash64(key), wanted.select(F.xxhash64("at").alias("h")))
     rows = some.filter("maybe").join(wanted, F.col(key) == F.col("at"))
-    return store(rows.select("id", whole("text").alias("shingles")), "sets")
+    return store(rows.select("id", whole("text").alias("shingles")), "sets", BATCH_ROWS)
 
 
 def near_rows(docs: DataFrame, key: str, similar: float = SIMILAR, limit: int = LIMIT, group_rows: int = GROUP_ROWS, turns: int = TURNS) -> DataFrame:
