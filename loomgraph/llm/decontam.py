@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.labelled import release
+from loomgraph.llm.labelled import tidy
 from loomgraph.shared import drop, store
 
 WINDOW = 8
@@ -51,6 +51,8 @@ LITERALS = 4
 #: An item of fewer tokens must be the whole document.
 SHORT = 3
 BITS = 24
+#: Whole texts that lie in a Python worker at once.
+BATCH_ROWS = 1000
 CACHE = 400_000
 #: Units of measure and spelled numbers that become placeholders.
 UNITS = frozenset(
@@ -187,10 +189,10 @@ def hits(docs: DataFrame, windows: DataFrame, width: int = WINDOW, literals: int
     shorter = [r[0] for r in windows.select("width").filter(F.col("width") < width).distinct().collect()]
     shared = spark.sparkContext.broadcast((bits, sorted(shorter)))
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        release()
         bits, shorter = shared.value
         uid, templates = TaskContext.get().partitionId() << 33, Templates()
         for batch in batches:
@@ -223,7 +225,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, lit
     made = store(benchmark_windows(benchmark, width, literals), "templates")
     classes = made.groupBy("class").agg(F.collect_set("item_id").alias("members"))
     windows = store(class_windows(made), "windows")
-    found = store(hits(docs, windows, width, literals, key), "hits")
+    found = store(hits(docs, windows, width, literals, key), "hits", BATCH_ROWS)
     every = found.filter("pos IS NULL").select("uid", "doc_id")
     joined = found.filter("pos IS NOT NULL").join(windows, ["h", "template"])
     place = F.struct("pos", "width")

@@ -40,6 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.llm.labelled import release
 from loomgraph.shared import drop, store, store_buckets
 
 END_ID = 1
@@ -58,7 +59,7 @@ class Encoder:
     case is dropped, so ``The``, ``the`` and ``the,`` share what is remembered.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, memory: int = MEMORY) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -67,6 +68,7 @@ class Encoder:
         self.lowers = "Lowercase" in self.tokenizer.to_str()[:20_000]
         self.closes = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.memory = memory
         self.words: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
@@ -88,7 +90,7 @@ class Encoder:
 
     def _recall(self, distinct: list[str]) -> list[bytes]:
         """The ids of distinct words, new ones learnt in a few calls."""
-        if len(self.words) > MEMORY // 2:  # words not met since the last turn are forgotten
+        if len(self.words) > self.memory // 2:  # words not met since the last turn are forgotten
             self.older, self.words = self.words, {"": b""}
         words, older = self.words, self.older
         found = list(map(words.get, distinct))
@@ -140,18 +142,19 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder_for(path: str) -> Encoder:
+def encoder_for(path: str, memory: int = MEMORY) -> Encoder:
     """One encoder for each Python worker; what it remembers serves all tasks that the worker runs."""
-    return Encoder(path)
+    release()
+    return Encoder(path, memory)
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n (with the end id), ids (raw bytes, 2 or 4 a piece as the vocabulary needs), wide."""
+def encode(docs: DataFrame, path: str, memory: int = MEMORY) -> DataFrame:
+    """doc_id, n (with the end id), ids (raw bytes, 2 or 4 a piece as the vocabulary needs), wide; ``memory`` words are remembered, which changes the work alone."""
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(path)
+        encoder = encoder_for(path, memory)
         end = np.array([END_ID], encoder.kind).tobytes()
         for batch in batches:
             texts = batch.column("text").cast(pa.large_string())
@@ -191,9 +194,9 @@ def _cut(shard_ids: int):
     return run
 
 
-def write_shards(docs: DataFrame, path: str, shard_ids: int = SHARD_IDS) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, shard_ids: int = SHARD_IDS, batch_rows: int | None = None, memory: int = MEMORY) -> DataFrame:
     """Encode, order and write; returns a scan of the shard files."""
-    encoded = store(encode(docs, path), "encoded")
+    encoded = store(encode(docs, path, memory), "encoded", batch_rows)
     total = encoded.agg(F.sum("n")).first()[0] or 0
     key = F.col("doc_id").cast("long").asc_nulls_last()
     parts = max(1, -(-total // (2 * shard_ids)))
@@ -357,9 +360,12 @@ def look_up(keys: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
     return found.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
-def token_table(docs: DataFrame, path: str, shard_ids: int = SHARD_IDS, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
-    """Write shards and index, then read every document back by key: doc_id, start, n_tokens, ids_crc32."""
-    shards = write_shards(docs, path, shard_ids)
+def token_table(docs: DataFrame, path: str, shard_ids: int = SHARD_IDS, bucket_keys: int = BUCKET_KEYS, batch_rows: int | None = None, memory: int = MEMORY) -> DataFrame:
+    """Write shards and index, then read every document back by key: doc_id, start, n_tokens, ids_crc32.
+
+    ``batch_rows`` texts at once and ``memory`` words bound what an encoding worker holds; any numbers give the same ids.
+    """
+    shards = write_shards(docs, path, shard_ids, batch_rows, memory)
     stored = store(stored_documents(shards), "stored")
     rows, keys, known = stored.agg(F.count("*"), F.count_distinct("doc_id"), F.count("doc_id")).first()
     repeated = not rows == keys == known
