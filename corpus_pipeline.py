@@ -15,6 +15,9 @@ from loomgraph.llm import decontam, mixing, quality, queries, simhash, token_ids
 from loomgraph.shared import drop, sieve, store
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: What a worker that makes token ids holds: texts at once and words remembered. More of them take memory and save time.
+BATCH_ROWS = 1000
+WORDS = 250_000
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +77,7 @@ def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the mix in shards, read back by key."""
-    return token_ids.token_table(docs, queries.tokenizer_path())
+    return token_ids.token_table(docs, queries.tokenizer_path(), batch_rows=BATCH_ROWS, memory=WORDS)
 
 
 STAGES = [("quality", _quality), ("near_dedup", _near_dedup), ("decontamination", _decontaminate), ("mixing", _mix), ("token_ids", _token_ids)]
