@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from loomgraph.functions import text as T
 from loomgraph.functions import vector as V
+from loomgraph.operators.nearest import Nearest
 from loomgraph.shared import store
 
 RRF_K = 60
@@ -35,8 +39,8 @@ def knn(vectors: DataFrame, query: list[float], k: int, key: str = "node_id", em
     return live.withColumn("distance", V.cosine_distance(F.col(embedding), q)).orderBy("distance", key).limit(k)
 
 
-def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "node_id", embedding: str = "embedding", query_key: str = "query_id", max_queries: int = 20_000) -> DataFrame:
-    """The k nearest of each query, with their rank.
+def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "node_id", embedding: str = "embedding", query_key: str = "query_id", max_queries: int = 20_000, digits: int | None = None) -> DataFrame:
+    """The k nearest of each query, with their rank; with ``digits``, distances that agree so far are ties, which the key settles.
 
     The side that is broadcast has a known bound: above ``max_queries`` the
     queries are numbered and taken in blocks of that many, the best k of each
@@ -44,8 +48,10 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "node_i
     keeps k rows a query before anything is shuffled.
     """
     columns = queries.select(F.col(query_key), F.col(embedding).alias("_q"))
+    order = Window.partitionBy(query_key).orderBy("_order", key)
+    rank = lambda near: near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("_order")
     if queries.limit(max_queries + 1).count() <= max_queries:
-        return _nearest(vectors, columns, k, key, embedding, query_key)
+        return rank(_nearest(vectors, columns, k, key, embedding, query_key, digits))
     # a stored partition number and place in it, with each partition's start, count without gaps
     at = store(columns.withColumn("_id", F.monotonically_increasing_id()), "queries").withColumn("_part", F.shiftright("_id", 33))
     counts = sorted(tuple(r) for r in at.groupBy("_part").agg(F.count("*")).collect())
@@ -55,21 +61,29 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "node_i
     numbered = store(at.join(F.broadcast(at.sparkSession.createDataFrame(starts, "_part long, _start long")), "_part").select(query_key, "_q", block), "numbered")
     done = []
     for i in range(-(-sum(n for _, n in counts) // max_queries)):
-        done.append(store(_nearest(vectors, numbered.filter(F.col("_block") == i).drop("_block"), k, key, embedding, query_key).drop("rank"), "nearest"))
-    order = Window.partitionBy(query_key).orderBy("distance", key)
-    whole = reduce(DataFrame.unionByName, done)
-    return whole.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(query_key, key, "distance", "rank")
-
-
-def _nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str, embedding: str, query_key: str) -> DataFrame:
-    """The k nearest of each of a block of queries (``query_key``, ``_q``), which is broadcast."""
-    q = queries.filter(V.l2_norm(F.col("_q")) > 0)
-    scored = vectors.filter(F.size(embedding) > 0).join(F.broadcast(q)).withColumn("distance", V.cosine_distance(F.col(embedding), F.col("_q")))
-    slim = scored.select(query_key, key, "distance").withColumn("_p", F.spark_partition_id())
-    near = Window.partitionBy(query_key, "_p").orderBy("distance", key)
-    local = slim.withColumn("_r", F.row_number().over(near)).filter(F.col("_r") <= k)
-    order = Window.partitionBy(query_key).orderBy("distance", key)
-    return local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(query_key, key, "distance", "rank")
+        done.append(store(_nearest(vectors, numbered.filter(F.col("_block") == i).drop("_block"), k, key, embedding, query_key, digits), "nearest"))
+    return rank(reduce(DataFrame.unionByName, done))
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str, embedding: str, query_key: str, digits: int | None) -> DataFrame:
+    """For each of a block of queries (``query_key``, ``_q``), which is broadcast, the k nearest in every partition of the vectors, with ``distance`` and ``_order``, the distance by which they rank."""
+    spark = vectors.sparkSession
+    live = vectors.filter(F.size(embedding) > 0).select(key, embedding).sortWithinPartitions(key)
+    shared = spark.sparkContext.broadcast(queries.filter(V.l2_norm(F.col("_q")) > 0).toArrow())
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value.combine_chunks()
+        ids = pa.concat_arrays(asked.column(0).chunks) if len(asked) else None
+        found = Nearest(pa.concat_arrays(asked.column(1).chunks), k, digits) if len(asked) else None
+        for batch in batches:
+            if found:
+                found.add(batch.column(0), batch.column(1))
+        if found and found.seen:
+            for q, keys, distance, order in found.rows():
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), keys, pa.array(distance), pa.array(order)], [query_key, key, "distance", "_order"])
+
+    schema = StructType([StructField(query_key, queries.schema[query_key].dataType), StructField(key, vectors.schema[key].dataType), StructField("distance", DoubleType()), StructField("_order", DoubleType())])
+    return live.mapInArrow(scan, schema)
 
 
 def insert_vectors(vectors: DataFrame, new: DataFrame, key: str = "node_id", chunk: str | None = None, replace: bool = True) -> DataFrame:

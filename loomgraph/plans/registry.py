@@ -75,7 +75,7 @@ FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) WHERE rank <= 5""")
 def vector_topk_batch(spark, sf):
     v = t(spark, sf, "embeddings")
     queries = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return search.knn_batch(v, queries, 5, "vec_id").select("query_id", "vec_id", "rank")
+    return search.knn_batch(v, queries, 5, "vec_id", digits=9).select("query_id", "vec_id", "rank")
 
 
 @query("SELECT vec_id, len(embedding)::INT AS dims FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")

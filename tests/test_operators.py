@@ -1,10 +1,13 @@
 import random
 
+import duckdb
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions import vector as V
 from loomgraph.operators import community, graph, incremental, parse, search, traverse
-from loomgraph.plans import cypher
+from loomgraph.plans import cypher, registry
 from loomgraph.sources import files
 from loomgraph.streaming import watch
 
@@ -24,6 +27,30 @@ def test_knn_batch_in_blocks(spark):
         assert sorted(map(tuple, search.knn_batch(v, queries, 4, max_queries=size).collect())) == sorted(map(tuple, whole.collect()))
 
 
+def test_knn_batch_against_all_pairs(spark, tmp_path):
+    dice = random.Random(3)
+    point = lambda: [dice.gauss(0, 1) for _ in range(9)]
+    near, far = point(), [1e200] * 9
+    rows = [(i, point()) for i in range(900)] + [(i, [x * (1 + i / 7) for x in near]) for i in range(900, 1300)]  # one direction, other lengths
+    rows += [(1300, [0.0] * 9), (1301, []), (1302, None), (1303, near[:4]), (1304, [*near, 2.0]), (1305, [None, *near[1:]]), (1306, [float("nan")] * 9), (1307, far), (1350, [1e-200] * 9)]
+    dice.shuffle(rows)
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    queries = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    pairs = v.filter("size(embedding) > 0").join(queries.filter(V.l2_norm(F.col("embedding")) > 0).withColumnRenamed("embedding", "q"))
+    pairs = pairs.select("query_id", "vec_id", V.cosine_distance(F.col("embedding"), F.col("q")).alias("distance"))
+    for digits in (None, 9):
+        order = F.col("distance") if digits is None else F.round("distance", digits)
+        want = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "vec_id"))).filter("rank <= 6")
+        got = search.knn_batch(v, queries, 6, "vec_id", digits=digits)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        assert "NestedLoop" not in got._jdf.queryExecution().toString()  # a row for each pair took 1 GB over its time
+    v.filter("vec_id < 1300").write.parquet(str(tmp_path / "embeddings.parquet"))  # distances that agree to nine digits are ties in SQL
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = con.sql(registry.ORACLE_SQL["vector_topk_batch"]).fetchall()
+    assert sorted(map(tuple, registry.QUERIES["vector_topk_batch"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_rrf(spark):
     ranks = lambda ids: spark.createDataFrame([(x, i + 1) for i, x in enumerate(ids)], "node_id string, rank int")
     got = [(r["node_id"], round(r["score"], 9), r["sources"]) for r in search.rrf(ranks("abc"), ranks("bd"), 10).collect()]
