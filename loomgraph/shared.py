@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +15,11 @@ from pyspark.sql import functions as F
 #: A sieve has 16 bits a key, at most so many in all: 2^28 bits are 32 MB, in rows of 4 KB.
 SIEVE_BITS = 1 << 28
 _SLOT = 1 << 15  # bits in one bitmap of bitmap_construct_agg
+#: A driver whose Java heap takes more than this share of its bound hands back what is free, once in so many seconds at most.
+HEAP_SHARE, RELIEF_S = 0.5, 4
 
 _written: list[str] = []
+_relieved = float("-inf")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,6 +55,25 @@ def _in_batches(df: DataFrame, rows: int) -> DataFrame:
     return DataFrame(made, spark)
 
 
+def _relieve(spark: SparkSession) -> None:
+    """Hand back memory that the driver's Java process has freed and keeps: many plans, each of its own code, leave the heap at its bound and the C allocator full of holes."""
+    global _relieved
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    if time.monotonic() < _relieved + RELIEF_S or runtime.totalMemory() < HEAP_SHARE * runtime.maxMemory():
+        return
+    gc.collect()  # what Python holds, the driver keeps
+    runtime.gc()
+    with contextlib.suppress(Exception):  # a JVM without this command (before 17.0.9) keeps the holes
+        kind = jvm.java.lang.Class.forName
+        types, values = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+        for i, x in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            types[i] = kind(x)
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        kind("javax.management.MBeanServer").getMethod("invoke", types).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    _relieved = time.monotonic()
+
+
 def store(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return a scan of it.
 
@@ -62,6 +86,7 @@ def store(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     path = f"{shared_folder(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
     (_in_batches(df, batch_rows) if batch_rows else df).write.option("compression", "zstd").parquet(path)
     _written.append(path)
+    _relieve(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

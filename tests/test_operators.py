@@ -1,3 +1,4 @@
+import gc
 import random
 
 import duckdb
@@ -5,6 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loomgraph import shared
 from loomgraph.functions import vector as V
 from loomgraph.operators import community, graph, incremental, parse, search, traverse
 from loomgraph.plans import cypher, registry
@@ -218,3 +220,15 @@ def test_state_and_key_values(spark, tmp_path):
     kv.delete("n", "x")
     kv.delete("n", "y")
     assert kv.get_all("n").count() == 0
+
+
+def test_store_hands_back_the_drivers_memory(spark, monkeypatch):
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    held = [gateway.new_array(jvm.long, runtime.maxMemory() // 512 - 8) for _ in range(40)]  # 40 of 64 parts
+    grown = runtime.totalMemory()
+    del held
+    gc.collect()
+    monkeypatch.setattr(shared, "_relieved", float("-inf"))
+    assert shared.store(spark.range(3), "few").count() == 3
+    assert runtime.totalMemory() < grown
